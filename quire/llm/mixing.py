@@ -191,7 +191,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
         .select(F.col("source_no").cast("int").alias("source_no"), "block", "shard", "place", "takes")
     )
     pieces = (
-        blocks.join(slots, ["source_no", "block"])
+        blocks.join(slots.hint("merge"), ["source_no", "block"])  # both grow with the input: neither may be sent to all tasks
         .withColumn("words", F.least("high", F.col("block") * block + F.col("takes")) - F.col("low"))
         .filter("words > 0")
         .select("shard", "place", "source_no", "uid", (F.col("low") - F.col("start")).alias("first"), "words")
@@ -202,7 +202,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
 def taken(sized: DataFrame, pieces: DataFrame) -> DataFrame:
     """Per document what the mix takes of it."""
     sums = pieces.groupBy("uid").agg(F.sum("words").alias("taken"))
-    return sized.join(sums, "uid", "left").select(
+    return sized.join(sums.hint("merge"), "uid", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"
     )
 
