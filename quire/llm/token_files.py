@@ -16,6 +16,7 @@ kept as null; repeated rows are written repeatedly, side by side; an empty table
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -118,12 +119,18 @@ class DacFile:
         return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+#: Punctuation that closes a word of which the last character is a letter.
+CLOSED = re.compile(rb"(?<=[a-z])[.,;:!?*%$#&|]+(?=[\x20\x09-\x0D]|\Z)")
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library, word by word.
 
     White space ends every word of this tokenizer (its pattern takes none in, its normalizer does not join
-    letters across it), so a text's ids are its words' ids in a row; each distinct word is encoded once and
-    kept, in a dictionary of bounded size.
+    letters across it), closing punctuation after a letter is a piece of its own, and case is folded. So a
+    text's ids are those of its folded words and closings in a row. Each distinct one is encoded once and kept,
+    in a dictionary of bounded size. Words of letters only are one piece each, and many go to the library in
+    one call: a piece's last id is one that ends a word.
     """
 
     def __init__(self, tokenizer_json: str, most: int = CACHE_WORDS):
@@ -133,18 +140,42 @@ class WordEncoder:
         self.tokenizer, self.known, self.most = Tokenizer.from_str(tokenizer_json), {}, most
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _split(self, text: bytes) -> list[bytes]:
+        """Words; a text that may hold special tokens, which are matched as written, is only cut at white space."""
+        return text.split() if b"<|" in text else CLOSED.sub(rb" \g<0>", text.lower()).split()
+
+    def _learn(self, words: Iterable[bytes]) -> None:
+        letters, others = [], []
+        for word in words:
+            (letters if word.decode().isalpha() else others).append(word)
+        for low in range(0, len(letters), 1000):
+            some = letters[low : low + 1000]
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, dtype="<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(some):
+                others += some
+                continue
+            data, at = ids.tobytes(), 0
+            for word, stop in zip(some, stops.tolist()):
+                self.known[word] = data[at:stop]
+                at = stop
+        for low in range(0, len(others), 10_000):
+            some = others[low : low + 10_000]
+            for word, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text in UTF-8."""
-        split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.known)) if split else []
+        split = [self._split(t) for t in texts]
+        new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-            new = list(set().union(*split))
-        for low in range(0, len(new), 20_000):
-            part = new[low : low + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
+            new = set().union(*split)
+        self._learn(new)
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
