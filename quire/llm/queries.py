@@ -33,6 +33,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op8_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import every_fiftieth
 
@@ -45,7 +51,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_mix_sources, op2_token_files, op3_bpe, op8_top_products, op10_shards]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_mix_sources, op2_token_files, op3_bpe, op7_secrets, op8_top_products, op10_shards]
 
 SQL = {
     "op8_top_products": """
