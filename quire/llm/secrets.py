@@ -24,7 +24,7 @@ HEX = r"[0-9a-f]{32,}"
 MIN_TOKEN = 20
 TOKEN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}"
 #: Mean log-likelihood ratio, natural, for each transition.
-THRESHOLD = 0.5
+THRESHOLD = 0.0
 #: Documents from which ordinary words are learnt (those of the lowest id hashes), and random strings made.
 SAMPLE_DOCS = 500
 SAMPLE_WORDS = 200
@@ -54,8 +54,9 @@ def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFra
     # Neighbours by zipping: a lambda that reads an outer array could have it computed anew for each element.
     pairs = F.zip_with("words", F.slice("words", 2, SAMPLE_WORDS), lambda a, b: F.concat(a, F.lit("_"), b, F.lit("_"), F.length(a).cast("string")))
     plain = sampled.select(F.explode(F.concat("words", F.filter(pairs, lambda t: t.isNotNull()))).alias("token"), F.lit(False).alias("secret"))
-    # Identifiers that do not depend on the documents, so that models exist for any table.
-    fixed = spark.range(50).select(F.concat(F.lit("max_retry_count_"), F.col("id").cast("string")).alias("token"), F.lit(False).alias("secret"))
+    # Identifiers that do not depend on the documents, so that models hold for any table: Spark's function names.
+    names = spark.sql("SHOW FUNCTIONS").filter("function RLIKE '^[a-z][a-z0-9_]+$'")
+    fixed = names.select(F.explode(F.array("function", F.upper("function"), F.replace(F.initcap(F.replace("function", F.lit("_"), F.lit(" "))), F.lit(" "), F.lit("")))).alias("token"), F.lit(False).alias("secret"))
     return random.unionByName(plain).unionByName(fixed)
 
 
