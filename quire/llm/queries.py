@@ -33,6 +33,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op4_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_score import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan
 
@@ -51,7 +63,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_mix_sources, op2_token_files, op3_bpe, op7_secrets, op8_top_products, op10_shards]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_mix_sources, op2_token_files, op3_bpe, op4_quality_score, op5_quality_rules, op7_secrets, op8_top_products, op10_shards]
 
 SQL = {
     "op8_top_products": """
