@@ -45,6 +45,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import join_components
+
+    return join_components(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan
 
@@ -63,9 +69,34 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_mix_sources, op2_token_files, op3_bpe, op4_quality_score, op5_quality_rules, op7_secrets, op8_top_products, op10_shards]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_mix_sources, op2_token_files, op3_bpe, op4_quality_score, op5_quality_rules, op6_jaccard_join, op7_secrets, op8_top_products, op10_shards]
 
 SQL = {
+    "op6_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE
+    WHEN len(words) = 0 THEN []
+    WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS items
+  FROM w
+), x AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM x a JOIN x b ON a.item = b.item AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), r AS (
+  SELECT doc_id AS d, doc_id AS o FROM documents
+  UNION
+  SELECT e.b, r.o FROM r JOIN e ON r.d = e.a
+)
+SELECT s.doc_id, CAST(len(s.items) AS BIGINT) AS n_shingles, c.component_id
+FROM s JOIN (SELECT d AS doc_id, min(o) AS component_id FROM r GROUP BY d) c USING (doc_id)
+""",
     "op8_top_products": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
