@@ -2,14 +2,15 @@
 
 A text's set is its distinct 4-word shingles, as 64-bit hashes. Equal sets are one node. Three global orders
 rank all shingles. Two sets with 100 * intersection >= T * union share at least one shingle of their prefixes
-(the first n - ceil(T n / 100) + 1) under every order, and k of prefixes k - 1 longer. The first order gives
-candidates: prefixes k - 1 longer are joined by shingle. A shingle of more than FREQUENT prefixes only counts
-for nodes of which k or more prefix shingles are that frequent, as all others share a rarer one with any
-partner. A candidate must then share prefix shingles under the other orders too before its sets are compared.
+(the first n - ceil(T n / 100) + 1) under every order, and k of prefixes k - 1 longer. The first order, by hash,
+takes the longer prefixes. Of these, the second order, rarest first, needs only the first
+(length - needed + 1): two prefixes that share `needed` shingles share one there. So very common shingles
+give candidates only to texts that consist of them. A candidate must then share prefix shingles under two
+further orders before its sets are compared.
 
-Links of large groups are not listed pair by pair: first each shingle's nodes are compared with one of them;
-what these links connect needs no further comparison, and the second round compares the candidates that are
-still in different components. Every link lies inside a component, and none that would join two is missed.
+Links of large groups are not listed pair by pair: in STARS rounds each shingle's nodes are compared with
+one of them, then only those that its component has not reached; the last round compares all candidates
+that are still in different components. Every link lies inside a component, and none that would join two is missed.
 
 Defined cases: a null text and one without words have the empty set and no links; with fewer words than a
 shingle the whole sequence is one; repeated rows share a component; rows without doc_id take no part, their
@@ -33,9 +34,11 @@ from .sharding import mixed
 WORDS = 4
 PERCENT = 85
 #: Prefixes are longer by so many hundredths of the set than one shared shingle asks.
-LONGER = 5
-FREQUENT = 64
+LONGER = 10
+STARS = 3
 CACHE_WORDS = 300_000
+#: Sets that a comparing worker remembers.
+CACHE_SETS = 1500
 STEP = np.uint64(0x9E3779B97F4A7C15)
 OTHER_ORDER = np.uint64(0xD6E8FEB86659FD93)
 
@@ -131,7 +134,8 @@ def _needed(n) -> F.Column:
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Written: the pairs (a, b) of nodes that are linked, compared by their texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("low").alias("doc_id")), "node")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = ends.join(nodes.select("node", F.col("low").alias("doc_id")), "node")
     texts = _texts(docs).join(wanted, "doc_id").select("node", "text")
     both = (
         pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
@@ -140,16 +144,24 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int)
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        held: dict[int, np.ndarray] = {}
+
+        def known(node: int, text: pa.Scalar) -> np.ndarray | None:
+            if node not in held:
+                found = shingles(text.as_py() or b"")
+                # Where an id has several texts, the join also meets those that are not the node's.
+                if not len(found) or node_of(found) != node:
+                    return None
+                if len(held) >= CACHE_SETS:
+                    held.clear()
+                held[node] = found
+            return held[node]
+
         for batch in batches:
-            a, b, text_a, text_b = (batch.column(i).to_pylist() for i in range(4))
             keep = []
-            for x, y, s, t in zip(a, b, text_a, text_b):
-                if s != last:
-                    last, held = s, shingles(s or b"")
-                other = shingles(t or b"")
-                # Where an id has several texts, the join also meets those that are not the node's.
-                keep.append(bool(len(held) and len(other)) and node_of(held) == x and node_of(other) == y and linked(held, other, percent))
+            for i, (x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                one, other = known(x, batch.column(2)[i]), known(y, batch.column(3)[i])
+                keep.append(one is not None and other is not None and linked(one, other, percent))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     return written(both.mapInArrow(run, "a long, b long"), "links")
@@ -173,65 +185,84 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def join_components(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    spark = docs.sparkSession
-    short_batches(spark)
-    rows = sets(docs, percent)
-    usable = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = written(usable.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n")), "nodes")
-    entries = usable.dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("token"))
+def indexed(rows: DataFrame, percent: int) -> DataFrame:
+    """Written: token, node, n; the shingles by which candidates meet."""
+    spark = rows.sparkSession
+    entries = rows.dropDuplicates(["node"]).select("node", "n", F.size("prefix").alias("length"), F.explode("prefix").alias("token"))
     shared = written(entries.withColumn("g", F.count("*").over(W.partitionBy("token"))).filter("g > 1"), "shared")
     released(spark)
+    by_node = W.partitionBy("node")
+    rank = F.row_number().over(by_node.orderBy("g", "token"))  # after the node's shingles that no other has
+    needed = _needed(F.ceil(F.col("n") * percent / 100))
+    ranked = shared.withColumn("place", rank + F.col("length") - F.count("*").over(by_node))
+    return written(ranked.filter(F.col("place") <= F.col("length") - needed + 1).select("token", "node", "n"), "index")
 
-    # f: frequent shingles in a node's prefix. With fewer than any partner shares with it, the rest suffices.
-    facts = shared.filter(F.col("g") > frequent).groupBy("node", "n").agg(F.count("*").alias("f"))
-    facts = written(facts.withColumn("crowded", F.col("f") >= _needed(F.ceil(F.col("n") * percent / 100))).select("node", "f", "crowded"), "facts")
-    used = shared.join(facts, "node", "left").select("token", "node", "n", "g", F.coalesce("f", F.lit(0)).alias("f"), F.coalesce("crowded", F.lit(False)).alias("crowded"))
-    used = written(used.filter((F.col("g") <= frequent) | F.col("crowded")).drop("g"), "used")
-    released(spark)
-
-    # First round: each shingle's nodes against the smallest of them.
-    pivots = used.groupBy("token").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("c")).filter("c > 1").select("token", F.col("p.node").alias("a"), F.col("p.n").alias("an"))
-    stars = (
-        used.join(pivots, "token").filter((F.col("a") != F.col("node")) & _fits("n", "an", percent))
-        .groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("n", "an")).alias("n"))
-        .filter(F.col("c") * 2 >= _needed(F.col("n"))).select("a", "b")
-    )
-    stars = written(stars, "stars")
-    links = verified(stars, docs, nodes, percent)
-    released(spark)
 
-    # Second round: the candidates whose components still differ, less those compared already.
-    part = components(links) if links.head(1) else spark.createDataFrame([], "node long, component long")
-    placed = used.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def placed(index: DataFrame, part: DataFrame | None) -> DataFrame:
+    """The index with each node's component, and whether it is the one of most of its shingle's nodes (is_top);
+    shingles whose nodes are all in one component go."""
+    rows = index.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")) if part is not None else index.withColumn("component", F.col("node"))
     by_token = W.partitionBy("token")
     tops = (
-        placed.groupBy("token", "component").agg(F.count("*").alias("m"))
+        rows.groupBy("token", "component").agg(F.count("*").alias("m"))
         .withColumn("parts", F.count("*").over(by_token)).withColumn("top", F.max(F.struct("m", "component")).over(by_token))
-        .filter((F.col("parts") > 1) & (F.col("m") == F.col("top.m")) & (F.col("component") == F.col("top.component"))).select("token", F.col("component").alias("top"))
+        .filter((F.col("parts") > 1) & (F.col("component") == F.col("top.component"))).select("token", F.col("component").alias("top"))
     )
-    mingled = written(placed.join(tops, "token").withColumn("is_top", F.col("component") == F.col("top")).drop("top"), "mingled")
+    return rows.join(tops, "token").withColumn("is_top", F.col("component") == F.col("top")).drop("top")
+
+
+def stars(index: DataFrame, part: DataFrame | None, turn: int, percent: int) -> DataFrame:
+    """Written: a, b. Each shingle's nodes against one of its largest component, two partners a node at most:
+    those met by most shingles. What this leaves out stays for the last round."""
+    rows = placed(index, part)
+    pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))).alias("p")
+    pivots = rows.filter("is_top").groupBy("token").agg(pivot).select("token", "p.a", "p.an", "p.ac")
+    met = (
+        rows.join(pivots, "token").filter((F.col("component") != F.col("ac")) & _fits("n", "an", percent))
+        .groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
+    )
+    first = F.row_number().over(W.partitionBy("b").orderBy(F.desc("c"), "a"))
+    return written(met.withColumn("r", first).filter("r <= 2").select("a", "b"), "stars")
+
+
+def join_components(docs: DataFrame, percent: int = PERCENT, rounds: int = STARS) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    spark = docs.sparkSession
+    short_batches(spark)
+    rows = sets(docs, percent)
+    usable = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL")
+    nodes = written(usable.groupBy("node").agg(F.min("doc_id").alias("low")), "nodes")
+    index = indexed(usable, percent)
     released(spark)
-    one, two = mingled.filter(~F.col("is_top")), mingled
-    one = one.select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "f", "crowded", "component")))
-    two = two.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "f", "crowded", "component", "is_top")))
+    links, tried, part = None, None, None
+    for turn in range(rounds):
+        pairs = stars(index, part, turn, percent)
+        found = verified(pairs, docs, nodes, percent)
+        tried = pairs if tried is None else tried.union(pairs)
+        links = found if links is None else links.union(found)
+        if links.head(1):
+            part = components(links)
+        released(spark)
+
+    rest = written(placed(index, part), "rest")
+    one = rest.filter(~F.col("is_top")).select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "component")))
+    two = rest.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "component", "is_top")))
     met = one.join(two.hint("merge"), "token").filter(
         (F.col("component1") != F.col("component2")) & (F.col("is_top2") | (F.col("node1") < F.col("node2"))) & _fits("n1", "n2", percent)
     )
-    least = _needed(F.least("n1", "n2")) - F.when(F.col("crowded1") & F.col("crowded2"), F.lit(0)).otherwise(F.least("f1", "f2"))
-    candidates = (
-        met.groupBy(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).agg(F.count("*").alias("c"), F.max(least).alias("least"))
-        .filter(F.col("c") >= F.col("least")).select("a", "b")
-        .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
+    candidates = met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+    if tried is not None:
+        candidates = candidates.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     candidates = written(candidates, "candidates")
-    more = verified(candidates, docs, nodes, percent) if candidates.head(1) else None
-    if more is not None and more.head(1):
-        part = components(links.unionByName(more))
-    placed_nodes = nodes.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = placed_nodes.groupBy("component").agg(F.min("low").alias("component_id"))
-    ids = placed_nodes.join(lowest, "component").select("node", "component_id")
+    released(spark)
+    if candidates.head(1):
+        more = verified(candidates, docs, nodes, percent)
+        links = more if links is None else links.union(more)
+        if more.head(1):
+            part = components(links)
+    ends = nodes.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")) if part is not None else nodes.withColumn("component", F.col("node"))
+    lowest = ends.groupBy("component").agg(F.min("low").alias("component_id"))
+    ids = ends.join(lowest, "component").select("node", "component_id")
     released(spark)
     return rows.join(ids, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),

@@ -100,10 +100,11 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: f
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
-def judged(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",), buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
-    """`keep` columns, the base columns, score and kept of every row."""
-    rows = docs.select(*keep, *(() if "text" in keep else ("text",))).withColumn("_text", text_of().cast("string"))
-    table = F.broadcast(ratios(docs.withColumn("_text", text_of().cast("string")), trusted, buckets, prior))  # `buckets` rows at most
+def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
+    """doc_id, text_hash, the base columns, score and kept of every row."""
+    keep = ["doc_id", "text_hash"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), text_of().cast("string").alias("_text"))
+    table = F.broadcast(ratios(rows, trusted, buckets, prior))  # `buckets` rows at most
     based = base_rules(rows).withColumn("_row", F.monotonically_increasing_id())
     grams = based.select("_row", *keep, *BASE, F.explode_outer(buckets_of(F.col("_words"), buckets)).alias("bucket"))
     scored = grams.join(table, "bucket", "left").groupBy("_row").agg(
@@ -112,5 +113,7 @@ def judged(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, ke
     return scored.drop("_row").withColumn("kept", ~F.col("base_failed") & (F.round("score", 9) >= threshold))
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
-    return judged(docs.withColumn("doc_id", F.col("doc_id").cast("long")), trusted, **options)
+def kept_documents(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
+    """The input's rows that are kept, by id and text: rows alike in both are judged alike."""
+    kept = quality_rules(docs, trusted, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_semi")

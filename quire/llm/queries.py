@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._shared import table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -24,13 +24,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_files
 
-    return token_files(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_and_decode
 
-    return encode_and_decode(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return encode_and_decode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op4_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,13 +63,19 @@ def op8_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every_fiftieth(table(spark, sf_dir, "embeddings"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_mix_sources, op2_token_files, op3_bpe, op4_quality_score, op5_quality_rules, op6_jaccard_join, op7_secrets, op8_top_products, op10_shards]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_mix_sources, op2_token_files, op3_bpe, op4_quality_score, op5_quality_rules, op6_jaccard_join, op7_secrets, op8_top_products, op9_personal_data, op10_shards]
 
 SQL = {
     "op6_jaccard_join": r"""
