@@ -2,12 +2,260 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scores, text
+from ..operators import matching, ordered
+from ..sources.tables import line_blocks, table
+
 FLAGSHIP = "document_profile"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS flow_index FROM documents)"
+WORDS = "len(list_filter(regexp_split_to_array({0}, '[ \\t\\r\\n]+'), lambda w: w <> ''))"
+
+
+def query(sql: str):
+    def put(f):
+        _QUERIES[f.__name__], _SQL[f.__name__] = f, sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+@query(f"WITH {LINES} SELECT doc_id, count(*) AS n_blocks, sum(CASE WHEN trim(text) <> '' THEN 1 ELSE 0 END)::BIGINT AS n_filled, sum({WORDS.format('text')})::BIGINT AS n_words, max(length(text))::BIGINT AS longest FROM lines GROUP BY doc_id")
+def document_profile(spark, d):
+    """Counts of a document's blocks and words."""
+    return line_blocks(table(spark, d, "documents")).groupBy("doc_id").agg(
+        F.count("*").alias("n_blocks"), F.sum(F.when(F.trim("text") != "", 1).otherwise(0)).alias("n_filled"),
+        F.sum(text.word_count(F.col("text"))).alias("n_words"), F.max(F.length("text")).cast("long").alias("longest"),
+    )
+
+
+@query("SELECT page_id, CASE WHEN f <> '' THEN f ELSE 'document.docx' END AS name FROM (SELECT page_id, regexp_replace(string_split(url, '/')[-1], '[^A-Za-z0-9._-]', '_', 'g') AS f FROM pages)")
+def safe_filename(spark, d):
+    """A2."""
+    return table(spark, d, "pages").select("page_id", text.safe_filename(F.col("url")).alias("name"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars = 0 THEN 'empty' WHEN n_chars > 5000 THEN 'too_large' WHEN lang NOT IN ('en', 'fr') THEN 'extension' ELSE 'accepted' END AS verdict FROM documents")
+def upload_verdict(spark, d):
+    """A1, A3, A4: the first reason to reject."""
+    n = F.col("n_chars")
+    return table(spark, d, "documents").select("doc_id", F.when(n == 0, "empty").when(n > 5000, "too_large").when(~F.col("lang").isin("en", "fr"), "extension").otherwise("accepted").alias("verdict"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, flow_index, CASE WHEN length(text) > 120 THEN substring(text, 1, 117) || '...' ELSE text END AS preview FROM lines")
+def previews(spark, d):
+    """B25."""
+    return line_blocks(table(spark, d, "documents")).select("doc_id", "flow_index", text.preview(F.col("text")).alias("preview"))
+
+
+HEAD = f"SELECT doc_id, flow_index, length(t) > 0 AND length(t) <= 100 AND {WORDS.format('t')} <= 12 AND (length(t) - length(regexp_replace(t, '[0-9]', '', 'g'))) * 100 < 8 * length(t) AND NOT regexp_matches(t, '[.!?;:,]$') AS is_heading FROM (SELECT doc_id, flow_index, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM lines)"
+
+
+def _headings(spark, d):
+    return line_blocks(table(spark, d, "documents")).select("doc_id", "flow_index", text.looks_like_heading(F.col("text")).alias("is_heading"))
+
+
+@query(f"WITH {LINES} {HEAD}")
+def unnumbered_headings(spark, d):
+    """B7, B8."""
+    return _headings(spark, d)
+
+
+@query(f"WITH {LINES}, h AS ({HEAD}) SELECT doc_id, flow_index, max(CASE WHEN is_heading THEN flow_index END) OVER (PARTITION BY doc_id ORDER BY flow_index) AS section FROM h")
+def section_of_block(spark, d):
+    """The current section of each block."""
+    return ordered.carried_forward(_headings(spark, d), "doc_id", "flow_index", F.when(F.col("is_heading"), F.col("flow_index")), "section").drop("is_heading")
+
+
+@query(f"WITH {LINES} SELECT doc_id, flow_index, min(CASE WHEN trim(text) <> '' THEN flow_index END) OVER (PARTITION BY doc_id ORDER BY flow_index ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS next_filled FROM lines")
+def next_filled_block(spark, d):
+    """E1."""
+    return ordered.nearest_within(line_blocks(table(spark, d, "documents")), "doc_id", "flow_index", F.trim("text") != "", 4, "next_filled").drop("text")
+
+
+@query("SELECT p_partkey, p_brand, 1 + p_size % 4 AS level, (SELECT max(q.p_partkey) FROM part q WHERE q.p_brand = p.p_brand AND q.p_partkey < p.p_partkey AND 1 + q.p_size % 4 < 1 + p.p_size % 4) AS parent FROM part p")
+def parent_sections(spark, d):
+    """The nearest earlier section of a lower level."""
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", (1 + F.col("p_size") % 4).alias("level"))
+    return ordered.parent_sections(rows, "p_brand", "p_partkey", "level", 4)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey)::INTEGER AS k FROM lineitem")
+def object_numbers(spark, d):
+    """E11, E12."""
+    rows = table(spark, d, "lineitem").withColumn("at", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
+    return ordered.numbered(rows, "l_orderkey", "at", "l_returnflag", "k").select("l_orderkey", "l_linenumber", "l_returnflag", "k")
+
+
+@query("SELECT event_id, event_type || '-' || (user_id % 5) || CASE WHEN n = 1 THEN '' ELSE '-auto' || (n - 1) END AS id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type || '-' || (user_id % 5) ORDER BY event_id) AS n FROM events)")
+def duplicate_ids(spark, d):
+    """Later rows of an id get a number."""
+    rows = table(spark, d, "events").withColumn("name", F.concat("event_type", F.lit("-"), (F.col("user_id") % 5).cast("string")))
+    return ordered.renamed_duplicates(rows, "user_id", "event_id", "name", "id").select("event_id", "id")
+
+
+@query("SELECT o_custkey, o_orderkey, sum(o_orderkey % 100) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::BIGINT AS total FROM orders")
+def running_totals(spark, d):
+    """E14."""
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 100).alias("size"))
+    return ordered.running_total(rows, "o_custkey", "o_orderkey", "size", "total").drop("size")
+
+
+@query("""WITH RECURSIVE j AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS k FROM documents),
+r AS (SELECT source, 0::BIGINT AS k, 0::BIGINT AS used, NULL::BIGINT AS kept FROM (SELECT DISTINCT source FROM documents)
+UNION ALL SELECT r.source, j.k, CASE WHEN r.used + j.n_chars <= 40000 THEN r.used + j.n_chars ELSE r.used END, CASE WHEN r.used + j.n_chars <= 40000 THEN j.doc_id END FROM r JOIN j ON j.source = r.source AND j.k = r.k + 1 WHERE j.k <= 30)
+SELECT source, kept AS doc_id FROM r WHERE kept IS NOT NULL""")
+def retention(spark, d):
+    """Newest first under a byte budget."""
+    return ordered.retained(table(spark, d, "documents"), "source", "doc_id", "doc_id", "n_chars", 30, 40000)
+
+
+CAPTION = "CASE WHEN l_linenumber % 2 = 0 THEN 'Fig. ' ELSE 'Table ' END || l_linenumber || '. ' || p_name"
+
+
+def _captions(spark, d):
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.withColumn("caption", F.concat(F.when(F.col("l_linenumber") % 2 == 0, "Fig. ").otherwise("Table "), F.col("l_linenumber").cast("string"), F.lit(". "), F.col("p_name")))
+
+
+@query(rf"SELECT l_orderkey, l_linenumber, regexp_extract(c, '^\s*((?:Figure|Fig\.?|Table)\s*[0-9]+)', 1) AS label, regexp_replace(regexp_replace(c, '^\s*((?:Figure|Fig\.?|Table)\s*[0-9]+)', ''), '^[\s.:：．-]+|\s+$', '', 'g') AS body, regexp_extract(c, '([0-9]+)', 1) AS number FROM (SELECT *, {CAPTION} AS c FROM lineitem JOIN part ON l_partkey = p_partkey)")
+def caption_parts(spark, d):
+    """H1, H9."""
+    c = F.col("caption")
+    return _captions(spark, d).select("l_orderkey", "l_linenumber", text.caption_label(c).alias("label"), text.caption_body(c).alias("body"), text.caption_number(c).alias("number"))
+
+
+REFERENCE = "'[' || l_linenumber || '] Smith AB, Jones CD. ' || p_name || '. ' || p_brand || ' ' || year(l_shipdate) || ';' || (1 + p_partkey % 40) || '(' || l_linenumber || '):' || (100 + l_linenumber) || '-' || (110 + l_linenumber) || '.' || CASE WHEN l_linenumber % 3 = 0 THEN ' 10.1234/x' || p_partkey ELSE '' END"
+TAIL = r"([12][0-9]{3});([0-9]+)\(([0-9]+)\):([0-9]+)-([0-9]+)"
+FIELDS = {"label": (r"^\s*\[([0-9]+)\]", "raw", 1), "authors": (r"^([^.]+)\.", "body", 1), "article_title": (r"^[^.]+\. ([^.]+)\.", "body", 1), "source": (r"^[^.]+\. [^.]+\. ([^.;]+) [12][0-9]{3};", "body", 1), **{n: (TAIL, "body", i + 1) for i, n in enumerate(("year", "volume", "issue", "fpage", "lpage"))}, "doi": (r"(10\.[0-9]{4,9}/[^\s]+)", "raw", 1)}
+
+
+@query(rf"""WITH r AS (SELECT l_orderkey, l_linenumber, {REFERENCE} AS raw FROM lineitem JOIN part ON l_partkey = p_partkey), b AS (SELECT *, regexp_replace(raw, '^\s*\[[0-9]+\]\s*', '') AS body FROM r),
+f AS (SELECT l_orderkey, l_linenumber, {", ".join(f"trim(regexp_extract({on}, '{p}', {g})) AS {n}" for n, (p, on, g) in FIELDS.items())} FROM b)
+SELECT *, least(100, (100 * ({" + ".join(f"(length({n}) > 0)::INT" for n in FIELDS)})) // 7)::BIGINT AS confidence FROM f""")
+def references(spark, d):
+    """Fields of citations and how many are filled."""
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    s, n = (lambda x: x.cast("string")), F.col("l_linenumber")
+    raw = F.concat(
+        F.lit("["), s(n), F.lit("] Smith AB, Jones CD. "), "p_name", F.lit(". "), "p_brand", F.lit(" "), s(F.year("l_shipdate")), F.lit(";"), s(1 + F.col("p_partkey") % 40),
+        F.lit("("), s(n), F.lit("):"), s(100 + n), F.lit("-"), s(110 + n), F.lit("."), F.when(n % 3 == 0, F.concat(F.lit(" 10.1234/x"), s(F.col("p_partkey")))).otherwise(""),
+    )
+    fields = text.reference_fields(F.col("raw"))
+    found = rows.select("l_orderkey", "l_linenumber", raw.alias("raw")).select("l_orderkey", "l_linenumber", *(f.alias(k) for k, f in fields.items()))
+    return found.withColumn("confidence", text.populated_hundredths([F.col(k) for k in fields]))
+
+
+@query("SELECT l_orderkey, l_linenumber, array_to_string(list_distinct_ordered, ',') AS numbers FROM (SELECT l_orderkey, l_linenumber, list_concat(range(least(a, b), greatest(a, b) + 1), CASE WHEN c BETWEEN least(a, b) AND greatest(a, b) THEN [] ELSE [c] END) AS list_distinct_ordered FROM (SELECT l_orderkey, l_linenumber, 1 + l_suppkey % 3 AS a, 4 + l_suppkey % 4 AS b, l_linenumber::BIGINT AS c FROM lineitem))")
+def expanded_citations(spark, d):
+    """`a-b, c` to its numbers."""
+    s = lambda x: x.cast("string")
+    raw = F.concat(s(1 + F.col("l_suppkey") % 3), F.lit("-"), s(4 + F.col("l_suppkey") % 4), F.lit(", "), s(F.col("l_linenumber")))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(text.expanded_numbers(raw).cast("array<string>"), ",").alias("numbers"))
+
+
+@query("SELECT l.l_orderkey, l.l_linenumber, 'fig' || (1 + l.l_partkey % 5) AS rid, CASE WHEN EXISTS (SELECT 1 FROM lineitem t WHERE t.l_orderkey = l.l_orderkey AND t.l_linenumber = 1 + l.l_partkey % 5) THEN 'valid' ELSE 'missing' END AS status FROM lineitem l")
+def reference_targets(spark, d):
+    """C7, C18, G2, G5."""
+    rows = table(spark, d, "lineitem")
+    xrefs = rows.select("l_orderkey", "l_linenumber", F.concat(F.lit("fig"), (1 + F.col("l_partkey") % 5).cast("string")).alias("rid"))
+    targets = rows.select("l_orderkey", F.concat(F.lit("fig"), F.col("l_linenumber").cast("string")).alias("rid"))
+    return matching.target_status(xrefs, targets, ["l_orderkey", "rid"])
+
+
+@query("SELECT l_orderkey, 'fig' || (1 + l_partkey % 5) AS rid, count(*) AS n_refs, array_to_string(list_sort(list_distinct(list(l_linenumber))), ',') AS referrers FROM lineitem GROUP BY 1, 2")
+def referrers(spark, d):
+    """D23."""
+    rows = table(spark, d, "lineitem").withColumn("rid", F.concat(F.lit("fig"), (1 + F.col("l_partkey") % 5).cast("string")))
+    return matching.reverse_references(rows, ["l_orderkey", "rid"], "l_linenumber")
+
+
+BIND = "(CASE WHEN l_returnflag <> 'R' THEN 30 ELSE 0 END + 20 + CASE WHEN l_linenumber = 1 + o_orderkey % 4 THEN 35 ELSE 0 END + CASE WHEN l_partkey % 6 <= 1 THEN 15 WHEN l_partkey % 6 <= 3 THEN 8 ELSE 0 END)"
+
+
+def _bindings(spark, d):
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.withColumn("score", scores.binding(F.col("l_returnflag") != "R", F.lit(True), F.col("l_linenumber") == 1 + F.col("o_orderkey") % 4, F.col("l_partkey") % 6))
+
+
+@query(f"SELECT o_orderkey, l_linenumber, l_partkey, score, CASE WHEN score >= 80 THEN 'ok' WHEN score >= 50 THEN 'need_review' ELSE 'warning' END AS status FROM (SELECT *, {BIND} AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
+def binding_scores(spark, d):
+    """H30, H32, H34."""
+    return _bindings(spark, d).select("o_orderkey", "l_linenumber", "l_partkey", "score", scores.status(F.col("score")).alias("status"))
+
+
+@query(f"SELECT o_orderkey, score, score - coalesce(nxt, 0) AS lead, score >= 80 AND score - coalesce(nxt, 0) >= 15 AS bound FROM (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS nxt FROM (SELECT o_orderkey, {BIND} AS score, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WINDOW w AS (PARTITION BY o_orderkey ORDER BY score DESC, l_linenumber)) WHERE r = 1")
+def best_bindings(spark, d):
+    """The best candidate with its lead."""
+    return ordered.best_with_margin(_bindings(spark, d).select("o_orderkey", "score", "l_linenumber"), ["o_orderkey"], "score", "l_linenumber").select("o_orderkey", "score", "lead", "bound")
+
+
+@query("SELECT c.conv_id, set_score, bag_score, count_score FROM (SELECT conv_id, (CASE WHEN len(sa) = 0 AND len(sb) = 0 THEN 100 WHEN len(sa) = 0 OR len(sb) = 0 THEN 0 ELSE 200 * len(list_intersect(sa, sb)) // (len(sa) + len(sb)) END)::BIGINT AS set_score, (CASE WHEN len(ta) = 0 AND len(tb) = 0 THEN 100 WHEN len(ta) = 0 OR len(tb) = 0 THEN 0 ELSE 200 * list_sum(list_transform(sa, lambda t: least(len(list_filter(ta, lambda u: u = t)), len(list_filter(tb, lambda u: u = t))))) // (len(ta) + len(tb)) END)::BIGINT AS bag_score, (CASE WHEN len(ta) = 0 AND len(tb) = 0 THEN 100 ELSE 100 * least(len(ta), len(tb)) // greatest(len(ta), len(tb)) END)::BIGINT AS count_score FROM (SELECT conv_id, ta, tb, list_distinct(ta) AS sa, list_distinct(tb) AS sb FROM (SELECT a.conv_id, list_filter(regexp_split_to_array(lower(a.text), '[^a-z0-9]+'), lambda w: w <> '') AS ta, list_filter(regexp_split_to_array(lower(b.text), '[^a-z0-9]+'), lambda w: w <> '') AS tb FROM (SELECT conv_id, min(text) AS text FROM conversations WHERE turn = 0 GROUP BY 1) a JOIN (SELECT conv_id, min(text) AS text FROM conversations WHERE turn = 1 GROUP BY 1) b USING (conv_id)))) c")
+def token_scores(spark, d):
+    """Set, bag and count scores of two texts."""
+    rows = table(spark, d, "conversations").withColumn("tokens", F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""))
+    side = lambda k: rows.filter(F.col("turn") == k).groupBy("conv_id").agg(F.min_by("tokens", "text").alias("tokens"))
+    return matching.token_overlap(side(0), side(1), "conv_id", "tokens")
+
+
+DIMS = {k: f"(({p} * o_orderkey) % 101)" for k, p in zip(scores.WEIGHTS, (7, 11, 13, 17, 19, 23, 29))}
+TOTAL = f"round_even(({' + '.join(f'{v} * {scores.WEIGHTS[k]}' for k, v in DIMS.items())} - 100 * least(30, 10 * (o_orderkey % 5))) / 100.0, 0)::BIGINT"
+
+
+def _totals(spark, d):
+    dims = {k: (F.col("o_orderkey") * p) % 101 for k, p in zip(scores.WEIGHTS, (7, 11, 13, 17, 19, 23, 29))}
+    return table(spark, d, "orders").withColumn("raw", scores.weighted_total(dims, F.col("o_orderkey") % 5))
+
+
+@query(f"SELECT o_orderkey, greatest(0, least(100, raw)) AS total, CASE WHEN raw >= 90 THEN 'A' WHEN raw >= 80 THEN 'B' WHEN raw >= 70 THEN 'C' WHEN raw >= 60 THEN 'D' ELSE 'E' END AS grade FROM (SELECT o_orderkey, {TOTAL} AS raw FROM orders)")
+def quality_totals(spark, d):
+    """D2, D14, H44."""
+    return _totals(spark, d).select("o_orderkey", F.greatest(F.lit(0), F.least(F.lit(100), F.col("raw"))).cast("long").alias("total"), scores.grade(F.col("raw")).alias("grade"))
+
+
+@query(f"SELECT o_orderpriority, count(*) AS n, sum(raw)::BIGINT AS total, min(raw) AS lowest, (10000 * sum(CASE WHEN raw >= 40 THEN 1 ELSE 0 END) // count(*))::BIGINT AS passed FROM (SELECT o_orderpriority, {TOTAL} AS raw FROM orders) GROUP BY 1 HAVING min(raw) >= -100")
+def run_summary(spark, d):
+    """Mean parts, minimum and pass rate of a run, with floors."""
+    rows = _totals(spark, d).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("raw").alias("total"), F.min("raw").alias("lowest"), F.floor(10000 * F.sum(F.when(F.col("raw") >= 40, 1).otherwise(0)) / F.count("*")).alias("passed"))
+    return rows.filter("lowest >= -100")
+
+
+@query("SELECT user_id, count(*) AS n, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END)::BIGINT AS clicks, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END)::BIGINT AS views, max(CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 ELSE 1 END)::INTEGER AS worst, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds FROM events GROUP BY 1")
+def issue_levels(spark, d):
+    """Counts by level, the worst, and sorted distinct kinds."""
+    kind = F.col("event_type")
+    return table(spark, d, "events").groupBy("user_id").agg(
+        F.count("*").alias("n"), F.sum(F.when(kind == "click", 1).otherwise(0)).alias("clicks"), F.sum(F.when(kind == "view", 1).otherwise(0)).alias("views"),
+        F.max(F.when(kind == "purchase", 3).when(kind == "click", 2).otherwise(1)).alias("worst"), F.array_join(F.sort_array(F.collect_set(kind)), ",").alias("kinds"),
+    )
 
 
-def queries():
-    return {}
+@query("SELECT c_custkey, coalesce(NULLIF(CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END, ''), n_name) AS journal, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_name END, r_name) AS publisher FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def profile_defaults(spark, d):
+    """Empty fields are filled from a small profile table."""
+    profiles = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, d, "customer").join(profiles, F.col("c_nationkey") == F.col("n_nationkey"))
+    own = F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment"))
+    return rows.select("c_custkey", F.coalesce(F.nullif(own, F.lit("")), "n_name").alias("journal"), F.coalesce(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")), F.col("r_name")).alias("publisher"))
 
 
-def oracle_sql():
-    return {}
+@query("SELECT page_id, " + ", ".join(f"((length(html) - length(replace(html, '<{t}', ''))) // {len(t) + 1})::BIGINT AS n_{t}" for t in ("article", "nav", "li", "script")) + " FROM pages")
+def tag_counts(spark, d):
+    """How often tags open."""
+    h = F.col("html")
+    return table(spark, d, "pages").select("page_id", *(F.floor((F.length(h) - F.length(F.replace(h, F.lit(f"<{t}"), F.lit("")))) / (len(t) + 1)).alias(f"n_{t}") for t in ("article", "nav", "li", "script")))
