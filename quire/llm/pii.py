@@ -82,8 +82,8 @@ def disclosing(based: DataFrame) -> DataFrame:
     pairs = written(terms.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= MIN_WINDOWS), "pairs")
     if not pairs.head(1):
         return pairs.select("term")
-    held = based.select(F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term")).join(pairs.select("term").distinct(), "term", "left_semi")
-    spread = held.groupBy("term").agg(F.count("*").alias("documents"))
+    # All terms of all documents are counted, in each task first; only then the few that matter are picked.
+    spread = based.select(F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
     return written(pairs.join(spread, "term").filter(F.col("both") >= MIN_SHARE * F.col("documents")).select("term").distinct(), "terms")
 
 
