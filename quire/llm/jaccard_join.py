@@ -9,8 +9,13 @@ give candidates only to texts that consist of them. A candidate must then share
 further orders before its sets are compared.
 
 Links of large groups are not listed pair by pair: in STARS rounds each shingle's nodes are compared with
-one of them, then only those that its component has not reached; the last round compares all candidates
-that are still in different components. Every link lies inside a component, and none that would join two is missed.
+one of them, then only those that its component has not reached. Then each node left joins the family of a hub,
+a node that shares prefix shingles with many, and is written as its difference from the hub's set. Two sets of a
+family differ by what their differences do not share, so those must share at least (w + w') / 2 shingles, where
+w is a difference's size less 15 / 185 of the set's; prefixes of the differences, rarest first, give a family's
+candidates, and an edit that one text alone has gives none. The last round compares the candidates of different
+families that are still in different components. Every link lies inside a component, and none that would join
+two is missed.
 
 Defined cases: a null text and one without words have the empty set and no links; with fewer words than a
 shingle the whole sequence is one; repeated rows share a component; rows without doc_id take no part, their
@@ -35,7 +40,7 @@ WORDS = 4
 PERCENT = 85
 #: Prefixes are longer by so many hundredths of the set than one shared shingle asks.
 LONGER = 10
-STARS = 3
+STARS = 1
 CACHE_WORDS = 300_000
 #: Sets that a comparing worker remembers.
 CACHE_SETS = 1500
@@ -225,6 +230,113 @@ def stars(index: DataFrame, part: DataFrame | None, turn: int, percent: int) ->
     return written(met.withColumn("r", first).filter("r <= 2").select("a", "b"), "stars")
 
 
+def hubs(rest: DataFrame) -> DataFrame:
+    """Written: node, hub. Each shingle names the node that meets most others; a node takes the hub most of its shingles name."""
+    by_token = W.partitionBy("token")
+    met = rest.select("token", "node", F.count("*").over(by_token).alias("g"))
+    degree = F.struct(F.sum("g").over(W.partitionBy("node")).alias("met"), F.col("node").alias("hub"))
+    named = met.withColumn("degree", degree).select("node", F.max("degree").over(by_token).alias("top"))
+    votes = named.groupBy("node", "top").agg(F.count("*").alias("c"))
+    return written(votes.groupBy("node").agg(F.max(F.struct("c", "top")).alias("best")).select("node", F.col("best.top.hub").alias("hub")), "hubs")
+
+
+def differences(family: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Written: node, hub, n, n_hub, size and shingles of the symmetric difference, whether the two are linked."""
+    ends = family.select("node").union(family.select("hub")).distinct()
+    wanted = ends.join(nodes.select("node", F.col("low").alias("doc_id")), "node")
+    texts = _texts(docs).join(wanted, "doc_id").select("node", "text")
+    both = (
+        family.join(texts.hint("merge"), "node")
+        .join(texts.select(F.col("node").alias("hub"), F.col("text").alias("text_hub")).hint("merge"), "hub")
+        .select("node", "hub", "text", "text_hub")
+    )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int | None, np.ndarray] = (None, np.zeros(0, dtype=np.uint64))
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("node", "hub", "n", "n_hub", "size", "linked", "diff")}
+            for i, (node, hub) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                own = shingles(batch.column(2)[i].as_py() or b"")
+                # Where an id has several texts, the join also meets those that are not the node's.
+                if not len(own) or node_of(own) != node:
+                    continue
+                if hub != held[0]:
+                    found = shingles(batch.column(3)[i].as_py() or b"")
+                    if not len(found) or node_of(found) != hub:
+                        continue
+                    held = (hub, found)
+                diff = np.setxor1d(own, held[1], assume_unique=True)
+                union = (len(own) + len(held[1]) + len(diff)) // 2
+                row = (node, hub, len(own), len(held[1]), len(diff), 100 * (union - len(diff)) >= percent * union, diff.view(np.int64))
+                for c, x in zip(out, row):
+                    out[c].append(x)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[c], t) for c, t in zip(out, [*[pa.int64()] * 5, pa.bool_(), pa.list_(pa.int64())])], names=list(out)
+            )
+
+    return written(both.mapInArrow(run, "node long, hub long, n long, n_hub long, size long, linked boolean, diff array<long>"), "differences")
+
+
+def family_pairs(diffs: DataFrame, part: DataFrame, percent: int) -> DataFrame:
+    """a, b: candidates of one family in different components.
+
+    Sets X and Y link where |X xor Y| * (100 + T) <= (100 - T) * (|X| + |Y|). With w = (100 + T) * size - (100 - T) * n
+    of each, their differences share at least (w + w') / (2 * (100 + T)). Members linked to their hub are in its
+    component, so one of a pair is not: its w is above (100 - T) * n_hub, and any partner shares more than
+    (w + (100 - T) * n_hub) / (2 * (100 + T)), which is never below 0. Of the one that is not linked, a linked
+    partner asks only for what the triangle of the three sets leaves."""
+    less, more = 100 - percent, 100 + percent
+    placed_ = diffs.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # A family of one component, or without a member that its hub does not reach, has no candidates.
+    open_hubs = (
+        placed_.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.min("linked").alias("all_linked"))
+        .filter("low < high AND members > 1 AND NOT all_linked").select("hub")
+    )
+    entries = placed_.join(open_hubs, "hub").select("hub", "node", "n", "n_hub", "size", "linked", "component", F.explode("diff").alias("token"))
+    by_token = W.partitionBy("hub", "token")
+    shared = (
+        entries.withColumn("g", F.count("*").over(by_token)).withColumn("alone", F.min("linked").over(by_token))
+        .filter((F.col("g") > 1) & ~F.col("alone"))
+    )
+    by_node = W.partitionBy("node")
+    place, length = F.row_number().over(by_node.orderBy("g", "token")), F.count("*").over(by_node)
+    w = more * F.col("size") - less * F.col("n")
+    any_partner = F.floor((w + less * F.col("n_hub")) / (2 * more)) + 1
+    # A linked partner has at most n_hub * 100 / T shingles, and n * 100 / T.
+    widest = F.floor(F.least("n", "n_hub") * 100 / percent)
+    linked_partner = F.greatest(F.lit(1), F.ceil((w - less * widest) / more))
+    ranked = shared.withColumn("place", place).withColumn("length", length)
+    short = F.col("place") <= F.col("length") - any_partner + 1
+    long = ~F.col("linked") & (F.col("place") <= F.col("length") - F.least(any_partner, linked_partner) + 1)
+    index = written(ranked.withColumn("short", short).filter(short | long).select("hub", "token", "node", "n", "linked", "component", "short"), "family")
+    one = index.filter(~F.col("linked")).select("hub", "token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "component", "short")))
+    two = index.filter("short").select("hub", "token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "component", "linked")))
+    met = one.join(two.hint("merge"), ["hub", "token"]).filter(
+        (F.col("component1") != F.col("component2")) & (F.col("linked2") | (F.col("short1") & (F.col("node1") < F.col("node2")))) & _fits("n1", "n2", percent)
+    )
+    return met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
+
+
+def far_pairs(index: DataFrame, part: DataFrame, family: DataFrame, percent: int) -> DataFrame:
+    """a, b: candidates of different families and components. Each shingle's nodes outside its largest family
+    meet all others."""
+    rows = placed(index, part).drop("is_top").join(family, "node", "left").withColumn("hub", F.coalesce("hub", "node"))
+    by_token = W.partitionBy("token")
+    tops = (
+        rows.groupBy("token", "hub").agg(F.count("*").alias("m"))
+        .withColumn("parts", F.count("*").over(by_token)).withColumn("top", F.max(F.struct("m", "hub")).over(by_token))
+        .filter((F.col("parts") > 1) & (F.col("hub") == F.col("top.hub"))).select("token", F.col("hub").alias("top"))
+    )
+    rest = written(rows.join(tops, "token").withColumn("is_top", F.col("hub") == F.col("top")).drop("top"), "rest")
+    one = rest.filter(~F.col("is_top")).select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "component", "hub")))
+    two = rest.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "component", "hub", "is_top")))
+    met = one.join(two.hint("merge"), "token").filter(
+        (F.col("component1") != F.col("component2")) & (F.col("hub1") != F.col("hub2"))
+        & (F.col("is_top2") | (F.col("node1") < F.col("node2"))) & _fits("n1", "n2", percent)
+    )
+    return met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
+
+
 def join_components(docs: DataFrame, percent: int = PERCENT, rounds: int = STARS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
@@ -234,33 +346,30 @@ def join_components(docs: DataFrame, percent: int = PERCENT, rounds: int = STARS
     nodes = written(usable.groupBy("node").agg(F.min("doc_id").alias("low")), "nodes")
     index = indexed(usable, percent)
     released(spark)
-    links, tried, part = None, None, None
+    tried, links, part = None, spark.createDataFrame([], "a long, b long"), None
     for turn in range(rounds):
         pairs = stars(index, part, turn, percent)
         found = verified(pairs, docs, nodes, percent)
         tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        if links.head(1):
-            part = components(links)
+        links = links.union(found)
+        part = components(links)
         released(spark)
 
-    rest = written(placed(index, part), "rest")
-    one = rest.filter(~F.col("is_top")).select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "component")))
-    two = rest.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "component", "is_top")))
-    met = one.join(two.hint("merge"), "token").filter(
-        (F.col("component1") != F.col("component2")) & (F.col("is_top2") | (F.col("node1") < F.col("node2"))) & _fits("n1", "n2", percent)
-    )
-    candidates = met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+    family = hubs(placed(index, part))
+    diffs = differences(family.filter("node <> hub"), docs, nodes, percent)
+    links = links.union(diffs.filter("linked").select("node", "hub"))
+    part = components(links)
+    released(spark)
+    candidates = family_pairs(diffs, part, percent).union(far_pairs(index, part, family, percent)).distinct()
     if tried is not None:
         candidates = candidates.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     candidates = written(candidates, "candidates")
     released(spark)
     if candidates.head(1):
         more = verified(candidates, docs, nodes, percent)
-        links = more if links is None else links.union(more)
         if more.head(1):
-            part = components(links)
-    ends = nodes.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")) if part is not None else nodes.withColumn("component", F.col("node"))
+            part = components(links.union(more))
+    ends = nodes.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = ends.groupBy("component").agg(F.min("low").alias("component_id"))
     ids = ends.join(lowest, "component").select("node", "component_id")
     released(spark)
