@@ -10,7 +10,7 @@ further orders before its sets are compared.
 
 Links of large groups are not listed pair by pair: in STARS rounds each shingle's nodes are compared with
 one of them, then only those that its component has not reached. Then each node left joins the family of a hub,
-a node that shares prefix shingles with many, and is written as its difference from the hub's set. Two sets of a
+a node that shares prefix shingles with many, and is written as its difference from the family's middle set. Two sets of a
 family differ by what their differences do not share, so those must share at least (w + w') / 2 shingles, where
 w is a difference's size less 15 / 185 of the set's; prefixes of the differences, rarest first, give a family's
 candidates, and an edit that one text alone has gives none. The last round compares the candidates of different
@@ -277,11 +277,31 @@ def differences(family: DataFrame, docs: DataFrame, nodes: DataFrame, percent: i
     return written(both.mapInArrow(run, "node long, hub long, n long, n_hub long, size long, linked boolean, diff array<long>"), "differences")
 
 
+def centred(diffs: DataFrame, percent: int) -> DataFrame:
+    """Written: the families that hold a member not linked to the hub, hubs among the members, as differences from
+    the member nearest to all others: |X xor Y| summed over Y changes by members - 2 * count for each shingle of
+    X's difference, where count is that of the family's differences with the shingle."""
+    whole = diffs.groupBy("hub").agg(F.min("linked").alias("all"), (F.count("*") + 1).alias("members"), F.min("n_hub").alias("n_hub")).filter("NOT all AND members > 2").drop("all")
+    own = whole.select(F.col("hub").alias("node"), "hub", F.col("n_hub").alias("n"), F.array().cast("array<long>").alias("diff"), "members")
+    rows = written(diffs.select("node", "hub", "n", "diff").join(whole.select("hub", "members"), "hub").select(own.columns).union(own), "members")
+    counted = rows.select("hub", "node", "members", F.explode("diff").alias("token")).withColumn("g", F.count("*").over(W.partitionBy("hub", "token")))
+    far = counted.groupBy("hub", "node").agg(F.sum(F.col("members") - 2 * F.col("g")).alias("far"))
+    nearest = far.groupBy("hub").agg(F.min(F.struct("far", "node")).alias("best")).filter("best.far < 0").select("hub", F.col("best.node").alias("node"))
+    middle = rows.join(nearest, ["hub", "node"]).select("hub", F.col("node").alias("middle"), F.col("diff").alias("mid"), F.col("n").alias("n_mid"))
+    moved = rows.join(whole.select("hub", "n_hub"), "hub").join(middle, "hub", "left").select(
+        "node", "hub", F.coalesce("middle", "hub").alias("middle"), "n", F.coalesce("n_mid", "n_hub").alias("n_hub"),
+        F.when(F.col("mid").isNull(), F.col("diff")).otherwise(F.concat(F.array_except("diff", "mid"), F.array_except("mid", "diff"))).alias("diff"),
+    )
+    size = F.size("diff").cast("long")
+    union = ((F.col("n") + F.col("n_hub") + size) / 2).cast("long")
+    return written(moved.withColumn("size", size).withColumn("linked", 100 * (union - size) >= percent * union), "centred")
+
+
 def family_pairs(diffs: DataFrame, part: DataFrame, percent: int) -> DataFrame:
     """a, b: candidates of one family in different components.
 
     Sets X and Y link where |X xor Y| * (100 + T) <= (100 - T) * (|X| + |Y|). With w = (100 + T) * size - (100 - T) * n
-    of each, their differences share at least (w + w') / (2 * (100 + T)). Members linked to their hub are in its
+    of each, their differences share at least (w + w') / (2 * (100 + T)). Members linked to their middle are in its
     component, so one of a pair is not: its w is above (100 - T) * n_hub, and any partner shares more than
     (w + (100 - T) * n_hub) / (2 * (100 + T)), which is never below 0. Of the one that is not linked, a linked
     partner asks only for what the triangle of the three sets leaves."""
@@ -289,8 +309,8 @@ def family_pairs(diffs: DataFrame, part: DataFrame, percent: int) -> DataFrame:
     placed_ = diffs.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # A family of one component, or without a member that its hub does not reach, has no candidates.
     open_hubs = (
-        placed_.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.min("linked").alias("all_linked"))
-        .filter("low < high AND members > 1 AND NOT all_linked").select("hub")
+        placed_.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all_linked"))
+        .filter("low < high AND NOT all_linked").select("hub")
     )
     entries = placed_.join(open_hubs, "hub").select("hub", "node", "n", "n_hub", "size", "linked", "component", F.explode("diff").alias("token"))
     by_token = W.partitionBy("hub", "token")
@@ -357,10 +377,11 @@ def join_components(docs: DataFrame, percent: int = PERCENT, rounds: int = STARS
 
     family = hubs(placed(index, part))
     diffs = differences(family.filter("node <> hub"), docs, nodes, percent)
-    links = links.union(diffs.filter("linked").select("node", "hub"))
+    members = centred(diffs, percent)
+    links = links.union(diffs.filter("linked").select("node", "hub")).union(members.filter("linked AND node <> middle").select("node", "middle"))
     part = components(links)
     released(spark)
-    candidates = family_pairs(diffs, part, percent).union(far_pairs(index, part, family, percent)).distinct()
+    candidates = family_pairs(members, part, percent).union(far_pairs(index, part, family, percent)).distinct()
     if tried is not None:
         candidates = candidates.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     candidates = written(candidates, "candidates")
