@@ -13,8 +13,9 @@ one of them, then only those that its component has not reached. Then each node
 a node that shares prefix shingles with many, and is written as its difference from the family's middle set. Two sets of a
 family differ by what their differences do not share, so those must share at least (w + w') / 2 shingles, where
 w is a difference's size less 15 / 185 of the set's; prefixes of the differences, rarest first, give a family's
-candidates, and an edit that one text alone has gives none. The last round compares the candidates of different
-families that are still in different components. Every link lies inside a component, and none that would join
+candidates, and an edit that one text alone has gives none. A node that meets a second family is its guest, and
+is compared there too. The last round compares the candidates that share
+no family and are still in different components. Every link lies inside a component, and none that would join
 two is missed.
 
 Defined cases: a null text and one without words have the empty set and no links; with fewer words than a
@@ -318,7 +319,7 @@ def family_pairs(diffs: DataFrame, part: DataFrame, percent: int) -> DataFrame:
         entries.withColumn("g", F.count("*").over(by_token)).withColumn("alone", F.min("linked").over(by_token))
         .filter((F.col("g") > 1) & ~F.col("alone"))
     )
-    by_node = W.partitionBy("node")
+    by_node = W.partitionBy("hub", "node")
     place, length = F.row_number().over(by_node.orderBy("g", "token")), F.count("*").over(by_node)
     w = more * F.col("size") - less * F.col("n")
     any_partner = F.floor((w + less * F.col("n_hub")) / (2 * more)) + 1
@@ -337,23 +338,36 @@ def family_pairs(diffs: DataFrame, part: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
 
 
-def far_pairs(index: DataFrame, part: DataFrame, family: DataFrame, percent: int) -> DataFrame:
-    """a, b: candidates of different families and components. Each shingle's nodes outside its largest family
-    meet all others."""
-    rows = placed(index, part).drop("is_top").join(family, "node", "left").withColumn("hub", F.coalesce("hub", "node"))
+def across(rest: DataFrame, family: DataFrame) -> DataFrame:
+    """Written: the shingles whose nodes are in several families, with each node's hub and the shingle's top family."""
+    rows = rest.drop("is_top", "component").join(family, "node", "left").withColumn("hub", F.coalesce("hub", "node"))
     by_token = W.partitionBy("token")
     tops = (
         rows.groupBy("token", "hub").agg(F.count("*").alias("m"))
         .withColumn("parts", F.count("*").over(by_token)).withColumn("top", F.max(F.struct("m", "hub")).over(by_token))
         .filter((F.col("parts") > 1) & (F.col("hub") == F.col("top.hub"))).select("token", F.col("hub").alias("top"))
     )
-    rest = written(rows.join(tops, "token").withColumn("is_top", F.col("hub") == F.col("top")).drop("top"), "rest")
-    one = rest.filter(~F.col("is_top")).select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "component", "hub")))
-    two = rest.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "component", "hub", "is_top")))
-    met = one.join(two.hint("merge"), "token").filter(
-        (F.col("component1") != F.col("component2")) & (F.col("hub1") != F.col("hub2"))
-        & (F.col("is_top2") | (F.col("node1") < F.col("node2"))) & _fits("n1", "n2", percent)
+    return written(rows.join(tops, "token"), "across")
+
+
+def guests(rows: DataFrame) -> DataFrame:
+    """Written: node, guest. A node outside its shingles' top families is also a member of the one that most name."""
+    named = rows.filter("hub <> top").groupBy("node", "top").agg(F.count("*").alias("c"))
+    return written(named.groupBy("node").agg(F.max(F.struct("c", "top")).alias("best")).select("node", F.col("best.top").alias("guest")), "guests")
+
+
+def far_pairs(rows: DataFrame, part: DataFrame, guest: DataFrame, percent: int) -> DataFrame:
+    """a, b: candidates that share no family, in different components. Each shingle's nodes that are not in its top
+    family, as member or guest, meet all others."""
+    placed_ = rows.join(guest, "node", "left").join(part, "node", "left").select(
+        "token", "node", "n", "hub", F.coalesce("guest", "hub").alias("guest"), F.coalesce("component", "node").alias("component"),
+        ((F.col("hub") == F.col("top")) | F.coalesce(F.col("guest") == F.col("top"), F.lit(False))).alias("is_top"),
     )
+    rest = written(placed_, "rest")
+    one = rest.filter(~F.col("is_top")).select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "component", "hub", "guest")))
+    two = rest.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "component", "hub", "guest", "is_top")))
+    apart = (F.col("component1") != F.col("component2")) & ~F.col("hub1").isin(F.col("hub2"), F.col("guest2")) & ~F.col("guest1").isin(F.col("hub2"), F.col("guest2"))
+    met = one.join(two.hint("merge"), "token").filter(apart & (F.col("is_top2") | (F.col("node1") < F.col("node2"))) & _fits("n1", "n2", percent))
     return met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
 
 
@@ -375,13 +389,17 @@ def join_components(docs: DataFrame, percent: int = PERCENT, rounds: int = STARS
         part = components(links)
         released(spark)
 
-    family = hubs(placed(index, part))
-    diffs = differences(family.filter("node <> hub"), docs, nodes, percent)
-    members = centred(diffs, percent)
-    links = links.union(diffs.filter("linked").select("node", "hub")).union(members.filter("linked AND node <> middle").select("node", "middle"))
+    rest = written(placed(index, part), "rest")
+    family = hubs(rest)
+    several = across(rest, family)
+    guest = guests(several)
+    members = family.union(guest.select("node", "guest")).filter("node <> hub")
+    diffs = differences(members, docs, nodes, percent)
+    middles = centred(diffs, percent)
+    links = links.union(diffs.filter("linked").select("node", "hub")).union(middles.filter("linked AND node <> middle").select("node", "middle"))
     part = components(links)
     released(spark)
-    candidates = family_pairs(members, part, percent).union(far_pairs(index, part, family, percent)).distinct()
+    candidates = family_pairs(middles, part, percent).union(far_pairs(several, part, guest, percent)).distinct()
     if tried is not None:
         candidates = candidates.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     candidates = written(candidates, "candidates")
