@@ -329,11 +329,17 @@ def family_pairs(diffs: DataFrame, part: DataFrame, percent: int) -> DataFrame:
     ranked = shared.withColumn("place", place).withColumn("length", length)
     short = F.col("place") <= F.col("length") - any_partner + 1
     long = ~F.col("linked") & (F.col("place") <= F.col("length") - F.least(any_partner, linked_partner) + 1)
-    index = written(ranked.withColumn("short", short).filter(short | long).select("hub", "token", "node", "n", "linked", "component", "short"), "family")
-    one = index.filter(~F.col("linked")).select("hub", "token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "component", "short")))
-    two = index.filter("short").select("hub", "token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "component", "linked")))
+    left = F.col("length") - F.col("place") + 1
+    index = written(
+        ranked.withColumn("short", short).filter(short | long).withColumn("w", w).withColumn("left", left)
+        .select("hub", "token", "node", "n", "w", "left", "linked", "component", "short"), "family",
+    )
+    one = index.filter(~F.col("linked")).select("hub", "token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "w", "left", "component", "short")))
+    two = index.filter("short").select("hub", "token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "w", "left", "component", "linked")))
+    # At the first shingle that two differences share, what is left of either must hold all that they need to share.
+    enough = 2 * more * F.least("left1", "left2") >= F.col("w1") + F.col("w2")
     met = one.join(two.hint("merge"), ["hub", "token"]).filter(
-        (F.col("component1") != F.col("component2")) & (F.col("linked2") | (F.col("short1") & (F.col("node1") < F.col("node2")))) & _fits("n1", "n2", percent)
+        (F.col("component1") != F.col("component2")) & (F.col("linked2") | (F.col("short1") & (F.col("node1") < F.col("node2")))) & enough & _fits("n1", "n2", percent)
     )
     return met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
 
