@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and reread as the next
 stage's docs. All but the last return the columns of documents. Decisions: rows that the quality rules reject
-go; of each component of near-duplicates the smallest doc_id stays; secrets become a mark; texts become what
+go; of each component of near-duplicates (5-word shingles, Jaccard 0.8) the smallest doc_id stays; secrets become a mark; texts become what
 the mix takes of them (a line for each piece, documents of which it takes nothing go); the last returns counts
 and digests of the ids. Null and empty texts fail the quality rules; an empty table gives an empty result.
 """
@@ -15,6 +15,10 @@ from quire.llm import bpe, jaccard_join, mixing, quality_rules, secrets
 from quire.llm._shared import table, written
 from quire.llm.queries import tokenizer
 
+#: Near-duplicates of the stage: 5-word shingles, Jaccard 0.8 or more (op6's query takes 4 words and 0.85).
+SHINGLE_WORDS = 5
+SHINGLE_PERCENT = 80
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
@@ -22,7 +26,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, words=SHINGLE_WORDS, percent=SHINGLE_PERCENT)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Exact n-gram Jaccard join by multiple global orders, and the components of its links.
 
-A text's set is its distinct 4-word shingles, as 64-bit hashes. Equal sets are one node. Three global orders
+A text's set is its distinct shingles of `words` words (4 in the query), as 64-bit hashes. Equal sets are one node. Three global orders
 rank all shingles. Two sets with 100 * intersection >= T * union share at least one shingle of their prefixes
 (the first n - ceil(T n / 100) + 1) under every order, and k of prefixes k - 1 longer. The first order, by hash,
 takes the longer prefixes. Of these, the second order, rarest first, needs only the first
@@ -111,12 +111,12 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def sets(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Written: doc_id, node, n, prefix (of the first order)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t or b"") for t in batch.column(1).to_pylist()]
+            found = [shingles(t or b"", words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0), "node": pa.array([node_of(s) if len(s) else None for s in found], pa.int64()),
                 "n": pa.array([len(s) for s in found], pa.int64()),
@@ -138,7 +138,7 @@ def _needed(n) -> F.Column:
     return F.greatest(F.lit(1), F.ceil(n * LONGER / 100))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
     """Written: the pairs (a, b) of nodes that are linked, compared by their texts."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = ends.join(nodes.select("node", F.col("low").alias("doc_id")), "node")
@@ -154,7 +154,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int)
 
         def known(node: int, text: pa.Scalar) -> np.ndarray | None:
             if node not in held:
-                found = shingles(text.as_py() or b"")
+                found = shingles(text.as_py() or b"", words)
                 # Where an id has several texts, the join also meets those that are not the node's.
                 if not len(found) or node_of(found) != node:
                     return None
@@ -241,7 +241,7 @@ def hubs(rest: DataFrame) -> DataFrame:
     return written(votes.groupBy("node").agg(F.max(F.struct("c", "top")).alias("best")).select("node", F.col("best.top.hub").alias("hub")), "hubs")
 
 
-def differences(family: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def differences(family: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
     """Written: node, hub, n, n_hub, size and shingles of the symmetric difference, whether the two are linked."""
     ends = family.select("node").union(family.select("hub")).distinct()
     wanted = ends.join(nodes.select("node", F.col("low").alias("doc_id")), "node")
@@ -257,12 +257,12 @@ def differences(family: DataFrame, docs: DataFrame, nodes: DataFrame, percent: i
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("node", "hub", "n", "n_hub", "size", "linked", "diff")}
             for i, (node, hub) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                own = shingles(batch.column(2)[i].as_py() or b"")
+                own = shingles(batch.column(2)[i].as_py() or b"", words)
                 # Where an id has several texts, the join also meets those that are not the node's.
                 if not len(own) or node_of(own) != node:
                     continue
                 if hub != held[0]:
-                    found = shingles(batch.column(3)[i].as_py() or b"")
+                    found = shingles(batch.column(3)[i].as_py() or b"", words)
                     if not len(found) or node_of(found) != hub:
                         continue
                     held = (hub, found)
@@ -377,11 +377,11 @@ def far_pairs(rows: DataFrame, part: DataFrame, guest: DataFrame, percent: int)
     return met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
 
 
-def join_components(docs: DataFrame, percent: int = PERCENT, rounds: int = STARS) -> DataFrame:
+def join_components(docs: DataFrame, percent: int = PERCENT, rounds: int = STARS, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     short_batches(spark)
-    rows = sets(docs, percent)
+    rows = sets(docs, percent, words)
     usable = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = written(usable.groupBy("node").agg(F.min("doc_id").alias("low")), "nodes")
     index = indexed(usable, percent)
@@ -389,7 +389,7 @@ def join_components(docs: DataFrame, percent: int = PERCENT, rounds: int = STARS
     tried, links, part = None, spark.createDataFrame([], "a long, b long"), None
     for turn in range(rounds):
         pairs = stars(index, part, turn, percent)
-        found = verified(pairs, docs, nodes, percent)
+        found = verified(pairs, docs, nodes, percent, words)
         tried = pairs if tried is None else tried.union(pairs)
         links = links.union(found)
         part = components(links)
@@ -400,7 +400,7 @@ def join_components(docs: DataFrame, percent: int = PERCENT, rounds: int = STARS
     several = across(rest, family)
     guest = guests(several)
     members = family.union(guest.select("node", "guest")).filter("node <> hub")
-    diffs = differences(members, docs, nodes, percent)
+    diffs = differences(members, docs, nodes, percent, words)
     middles = centred(diffs, percent)
     links = links.union(diffs.filter("linked").select("node", "hub")).union(middles.filter("linked AND node <> middle").select("node", "middle"))
     part = components(links)
@@ -411,7 +411,7 @@ def join_components(docs: DataFrame, percent: int = PERCENT, rounds: int = STARS
     candidates = written(candidates, "candidates")
     released(spark)
     if candidates.head(1):
-        more = verified(candidates, docs, nodes, percent)
+        more = verified(candidates, docs, nodes, percent, words)
         if more.head(1):
             part = components(links.union(more))
     ends = nodes.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
