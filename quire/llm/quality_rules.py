@@ -1,9 +1,14 @@
 """Quality rules: fixed counts, and a hashed n-gram log-likelihood ratio with a fixed threshold.
 
-Words and pairs of neighbouring words are hashed into BUCKETS; two multinomials over the buckets, one of the
+Words and pairs of neighbouring words are hashed into buckets; two multinomials over the buckets, one of the
 trusted target texts and one of the whole corpus, give each n-gram log(p_target / p_corpus). A document's
 score is the mean over its n-grams; it is kept where the base rules pass and the score reaches THRESHOLD.
-The target's multinomial is smoothed with the corpus's, by PRIOR n-grams. Only DataFrame functions run.
+The target's multinomial is smoothed with the corpus's. Only DataFrame functions run.
+
+Smoothing and buckets follow the tables, so that a score means the same at any size: the prior is PRIOR_SHARE
+of the trusted n-grams, so an n-gram that no trusted text has weighs log(PRIOR_SHARE / (1 + PRIOR_SHARE)); there
+is a bucket for each GRAMS_A_BUCKET distinct n-grams at least, and never fewer than BUCKETS. Ratios are sent
+to all tasks up to MOST_SENT_BUCKETS buckets and joined by shuffle beyond.
 
 Defined cases: a null text has no words, fails the base rules and has score 0; repeated rows are separate
 documents and are counted as often; trusted ids that are null or match no document count nothing, and with
@@ -18,7 +23,10 @@ from pyspark.sql import functions as F
 from ._shared import WORD, text_of, written
 
 BUCKETS = 1 << 16
+#: The prior at sf0.01, of whose trusted n-grams PRIOR_SHARE is this many.
 PRIOR = 20_000.0
+PRIOR_SHARE = 0.0725
+GRAMS_A_BUCKET = 6
 THRESHOLD = -0.35
 MIN_WORDS = 20
 MAX_REPEAT_SHARE = 30
@@ -26,6 +34,8 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 #: Trusted ids are sent to all tasks up to this many (16 MB); beyond, they are joined by shuffle.
 MOST_SENT_IDS = 1_000_000
+#: Ratios are sent to all tasks up to so many buckets (some 60 MB); beyond, they are joined by shuffle.
+MOST_SENT_BUCKETS = 1 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -72,15 +82,26 @@ def base_rules(rows: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words")))
 
 
-def buckets_of(words: Column, buckets: int) -> Column:
-    """The buckets of a text's words and pairs of neighbours."""
+def hashes_of(words: Column) -> Column:
+    """The hashes of a text's words and pairs of neighbours."""
     n = F.size(words)
     pairs = F.slice(F.zip_with(words, _neighbour(words, 1), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(n - 1, F.lit(0)))
-    hashes = F.concat(F.transform(words, lambda w: F.xxhash64(w)), pairs)
-    return F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    return F.concat(F.transform(words, lambda w: F.xxhash64(w)), pairs)
+
+
+def buckets_of(words: Column, buckets: int) -> Column:
+    """The buckets of a text's words and pairs of neighbours."""
+    return F.transform(hashes_of(words), lambda h: F.pmod(h, F.lit(buckets)))
+
+
+def buckets_for(docs: DataFrame) -> int:
+    """A power of two: at most GRAMS_A_BUCKET distinct n-grams (estimated) a bucket, BUCKETS at least."""
+    grams = docs.select(F.explode(hashes_of(words_of(F.col("_text")))).alias("h"))
+    distinct = grams.agg(F.approx_count_distinct("h", 0.02).alias("n")).first()["n"]
+    return max(BUCKETS, 1 << max(0, -(-distinct // GRAMS_A_BUCKET) - 1).bit_length())
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
+def ratios(docs: DataFrame, trusted: DataFrame, buckets: int, prior: float | None = None) -> DataFrame:
     """bucket, ratio: a row for each bucket that the corpus uses, `buckets` at most. trusted: a column of ids."""
     ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("_id")).filter("_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(1))
     if ids.count() <= MOST_SENT_IDS:
@@ -91,6 +112,8 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: f
     whole = counts.agg(F.sum("n").alias("n"), F.sum("own").alias("own")).first()
     if not whole["own"]:
         return counts.select("bucket", F.lit(0.0).alias("ratio"))
+    if prior is None:
+        prior = PRIOR_SHARE * whole["own"]
     # One occurrence is the scored text's own: without it, small corpora would count against every text.
     corpus = (F.col("n") - 1) / F.lit(float(whole["n"]))
     target = (F.col("own") + F.lit(prior) * corpus) / F.lit(whole["own"] + prior)
@@ -100,11 +123,14 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: f
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
-    """doc_id, text_hash, the base columns, score and kept of every row."""
+def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int | None = None, prior: float | None = None) -> DataFrame:
+    """doc_id, text_hash, the base columns, score and kept of every row. buckets, prior: None takes what fits the tables."""
     keep = ["doc_id", "text_hash"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), text_of().cast("string").alias("_text"))
-    table = F.broadcast(ratios(rows, trusted, buckets, prior))  # `buckets` rows at most
+    if buckets is None:
+        buckets = buckets_for(rows)
+    table = ratios(rows, trusted, buckets, prior)
+    table = F.broadcast(table) if buckets <= MOST_SENT_BUCKETS else table.hint("merge")
     based = base_rules(rows).withColumn("_row", F.monotonically_increasing_id())
     grams = based.select("_row", *keep, *BASE, F.explode_outer(buckets_of(F.col("_words"), buckets)).alias("bucket"))
     scored = grams.join(table, "bucket", "left").groupBy("_row").agg(
