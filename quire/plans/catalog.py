@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scores, text
 from ..operators import matching, ordered
@@ -213,6 +214,16 @@ def token_scores(spark, d):
     return matching.token_overlap(side(0), side(1), "conv_id", "tokens")
 
 
+@query("WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '') AS ta, coalesce(text, '') AS text FROM conversations), p AS (SELECT conv_id, turn, ta, lead(ta) OVER (PARTITION BY conv_id ORDER BY turn, text) AS tb FROM t), s AS (SELECT *, list_distinct(ta) AS sa, list_distinct(tb) AS sb FROM p WHERE tb IS NOT NULL) SELECT conv_id, turn, (CASE WHEN len(sa) = 0 AND len(sb) = 0 THEN 100 WHEN len(sa) = 0 OR len(sb) = 0 THEN 0 ELSE 200 * len(list_intersect(sa, sb)) // (len(sa) + len(sb)) END)::BIGINT AS set_score, (CASE WHEN len(ta) = 0 AND len(tb) = 0 THEN 100 WHEN len(ta) = 0 OR len(tb) = 0 THEN 0 ELSE 200 * list_sum(list_transform(sa, lambda t: least(len(list_filter(ta, lambda u: u = t)), len(list_filter(tb, lambda u: u = t))))) // (len(ta) + len(tb)) END)::BIGINT AS bag_score, (CASE WHEN len(ta) = 0 AND len(tb) = 0 THEN 100 ELSE 100 * least(len(ta), len(tb)) // greatest(len(ta), len(tb)) END)::BIGINT AS count_score FROM s")
+def turn_scores(spark, d):
+    """D17, D18, D19, D20, G3, G4 over whole conversations: every turn against the next one."""
+    text_ = F.coalesce("text", F.lit(""))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", text_.alias("text"), F.filter(F.split(F.lower(text_), "[^a-z0-9]+"), lambda w: w != "").alias("tokens"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "text")
+    rows = rows.select(F.struct("conv_id", "turn", F.row_number().over(order).alias("place")).alias("key"), "tokens", F.lead("tokens").over(order).alias("next")).filter("next IS NOT NULL")
+    return matching.token_overlap(rows, rows.select("key", F.col("next").alias("tokens")), "key", "tokens").select("key.conv_id", "key.turn", "set_score", "bag_score", "count_score")
+
+
 DIMS = {k: f"(({p} * o_orderkey) % 101)" for k, p in zip(scores.WEIGHTS, (7, 11, 13, 17, 19, 23, 29))}
 TOTAL = f"round_even(({' + '.join(f'{v} * {scores.WEIGHTS[k]}' for k, v in DIMS.items())} - 100 * least(30, 10 * (o_orderkey % 5))) / 100.0, 0)::BIGINT"
 
