@@ -2,9 +2,9 @@
 
 Values that the patterns find are protected entities. Around each occurrence the words of its window are its
 terms. From all documents: n(e, t), the distinct windows of entity e with term t, and n(t), the documents with
-t. A term discloses an entity where n(e, t) >= MIN_WINDOWS and n(e, t) / n(t) >= MIN_SHARE, that is, where the
-term makes the entity likelier than not; it then becomes a span in every document that holds it. Copies of a
-window count once, so a text that is copied often reveals nothing by that. Only DataFrame functions run.
+t, where copies of a text that holds a protected value count once, as their windows do. A term discloses an entity where n(e, t) >= MIN_WINDOWS and n(e, t) / n(t) >= MIN_SHARE, that is, where the
+term makes the entity likelier than not; it then becomes a span in every document that holds it. So copies of
+a text with protected values neither reveal nor hide anything; copies of other texts show that their terms are common. Only DataFrame functions run.
 
 Defined cases: a null text is an empty one, without spans; repeated rows repeat; a null doc_id is scanned like
 any other; an empty table gives an empty result; further columns are not read.
@@ -83,7 +83,9 @@ def disclosing(based: DataFrame) -> DataFrame:
     if not pairs.head(1):
         return pairs.select("term")
     # All terms of all documents are counted, in each task first; only then the few that matter are picked.
-    spread = based.select(F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
+    holds = F.size("_base") > 0
+    texts = based.filter(~holds).select("_text").union(based.filter(holds).select("_text").distinct())
+    spread = texts.select(F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
     return written(pairs.join(spread, "term").filter(F.col("both") >= MIN_SHARE * F.col("documents")).select("term").distinct(), "terms")
 
 
