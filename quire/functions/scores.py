@@ -17,6 +17,26 @@ def binding(same_section: Column, has_caption: Column, number_match: Column, dis
     )
 
 
+def evidence(same_section: Column, has_caption: Column, number_match: Column, distance: Column) -> Column:
+    """30 same section, 20 caption, 35 equal number, 15 or 5 for nearness; 0 in another section."""
+    near = F.when(distance <= 1, 15).when(distance <= 3, 5).otherwise(0)
+    return F.when(same_section, 30 + F.when(has_caption, 20).otherwise(0) + F.when(number_match, 35).otherwise(0) + near).otherwise(0)
+
+
+def evidence_status(same_section: Column, score: Column) -> Column:
+    return F.when(same_section, status(score)).otherwise("error")
+
+
+def float_match(number: Column, object_number: Column, distance: Column, caption: Column, kind: Column) -> Column:
+    """35 for the section, 35 equal number, 20 or 10 for nearness; 40 or 35 for a table's screenshot, else 15 for
+    a compatible type, else -10."""
+    near = F.when(distance <= 1, 20).when(distance <= 3, 10).otherwise(0)
+    screenshot = (caption == "table") & (kind == "image") & (distance <= 3) & (number != object_number)
+    compatible = ((caption == "figure") & (kind == "image")) | ((caption == "table") & (kind == "table"))
+    type_ = F.when(screenshot, F.when(distance <= 1, 40).otherwise(35)).when(compatible, 15).otherwise(-10)
+    return F.greatest(F.lit(0), F.least(F.lit(100), 35 + F.when((number != "") & (number == object_number), 35).otherwise(0) + near + type_))
+
+
 def status(score: Column) -> Column:
     return F.when(score >= 80, "ok").when(score >= 50, "need_review").otherwise("warning")
 

@@ -14,6 +14,17 @@ def target_status(xrefs: DataFrame, targets: DataFrame, on: list[str]) -> DataFr
     return xrefs.join(known, on, "left").withColumn("status", F.when(F.col("_known"), "valid").otherwise("missing")).drop("_known")
 
 
+def resolved_targets(xrefs: DataFrame, targets: DataFrame, on: list[str], rid: str) -> DataFrame:
+    """target and status: valid where the target exists, parent where a sub-figure's figure does (fig1 for fig1a), else missing."""
+    known = targets.select(*on, rid).distinct()
+    own = known.withColumn("_own", F.lit(True))
+    up = known.withColumnRenamed(rid, "_parent").withColumn("_up", F.lit(True))
+    parent = F.nullif(F.regexp_extract(rid, "^((?i:fig)[0-9]+)[A-Za-z]$", 1), F.lit(""))
+    rows = xrefs.withColumn("_parent", parent).join(own, [*on, rid], "left").join(up, [*on, "_parent"], "left")
+    rows = rows.withColumn("target", F.when(F.col("_own"), F.col(rid)).when(F.col("_up"), F.col("_parent")))
+    return rows.withColumn("status", F.when(F.col("_own"), "valid").when(F.col("_up"), "parent").otherwise("missing")).drop("_own", "_up", "_parent")
+
+
 def reverse_references(xrefs: DataFrame, key: list[str], order: str) -> DataFrame:
     """Each target's referrers, in order."""
     return xrefs.groupBy(*key).agg(F.count("*").alias("n_refs"), F.array_join(F.sort_array(F.collect_set(F.col(order))).cast("array<string>"), ",").alias("referrers"))

@@ -51,6 +51,27 @@ def best_with_margin(df: DataFrame, key: list[str], score: str, tie: str, least:
     return ranked.filter("_r = 1").withColumn("lead", lead).withColumn("bound", (F.col(score) >= least) & (lead >= margin)).drop("_r", "_next")
 
 
+def bound_once(candidates: DataFrame, doc: str, caption: str, target: str, score: str, least: int = 80, margin: int = 15) -> DataFrame:
+    """doc, caption, object, score: captions in order take their best object that none before took, if it leads by the
+    margin; else object is null and score is that best one's. A null target: a caption without candidates."""
+    item = F.struct((-F.col(score)).cast("long").alias("order"), F.col(target).cast("long").alias("object"))
+    each = candidates.groupBy(doc, caption).agg(F.sort_array(F.collect_list(F.when(F.col(target).isNotNull(), item))).alias("found"))
+    docs = each.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.col(caption).cast("long").alias("caption"), "found"))).alias("captions"))
+
+    def step(seen: Column, x: Column) -> Column:
+        free = F.filter(x["found"], lambda y: ~F.array_contains(seen["used"], y["object"]))
+        best, second = (F.coalesce(-F.get(free, F.lit(k))["order"], F.lit(0)) for k in (0, 1))
+        mine = F.when((best >= least) & (best - second >= margin), F.get(free, F.lit(0))["object"])
+        return F.struct(
+            F.when(mine.isNotNull(), F.concat(seen["used"], F.array(mine))).otherwise(seen["used"]).alias("used"),
+            F.concat(seen["out"], F.array(F.struct(x["caption"].alias("caption"), mine.alias("object"), best.alias("score")))).alias("out"),
+        )
+
+    start = F.struct(F.array().cast("array<long>").alias("used"), F.array().cast("array<struct<caption:long,object:long,score:long>>").alias("out"))
+    out = docs.select(doc, F.explode(F.aggregate("captions", start, step, lambda seen: seen["out"])).alias("o"))
+    return out.select(doc, F.col("o.caption").alias(caption), F.col("o.object").alias("object"), F.col("o.score").alias("score"))
+
+
 def retained(jobs: DataFrame, group: str, job: str, age: str, size: str, most_jobs: int, most_bytes: int) -> DataFrame:
     """Greedy retention, newest first: a job that does not fit goes, a later smaller one may stay."""
     item = F.struct(F.col(age).alias("age"), F.col(job).alias("job"), F.col(size).alias("size"))

@@ -172,7 +172,7 @@ def expanded_citations(spark, d):
 
 @query("SELECT l.l_orderkey, l.l_linenumber, 'fig' || (1 + l.l_partkey % 5) AS rid, CASE WHEN EXISTS (SELECT 1 FROM lineitem t WHERE t.l_orderkey = l.l_orderkey AND t.l_linenumber = 1 + l.l_partkey % 5) THEN 'valid' ELSE 'missing' END AS status FROM lineitem l")
 def reference_targets(spark, d):
-    """C7, C18, G2, G5."""
+    """C18, G2, G5; C7 is subfigure_targets."""
     rows = table(spark, d, "lineitem")
     xrefs = rows.select("l_orderkey", "l_linenumber", F.concat(F.lit("fig"), (1 + F.col("l_partkey") % 5).cast("string")).alias("rid"))
     targets = rows.select("l_orderkey", F.concat(F.lit("fig"), F.col("l_linenumber").cast("string")).alias("rid"))
@@ -196,16 +196,62 @@ def _bindings(spark, d):
 
 @query(f"SELECT o_orderkey, l_linenumber, l_partkey, score, CASE WHEN score >= 80 THEN 'ok' WHEN score >= 50 THEN 'need_review' ELSE 'warning' END AS status FROM (SELECT *, {BIND} AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
 def binding_scores(spark, d):
-    """H30, H32, H34."""
+    """Statuses of binding scores; H30 and H34 are evidence_scores and float_matches."""
     return _bindings(spark, d).select("o_orderkey", "l_linenumber", "l_partkey", "score", scores.status(F.col("score")).alias("status"))
 
 
 @query(f"SELECT o_orderkey, score, score - coalesce(nxt, 0) AS lead, score >= 80 AND score - coalesce(nxt, 0) >= 15 AS bound FROM (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS nxt FROM (SELECT o_orderkey, {BIND} AS score, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WINDOW w AS (PARTITION BY o_orderkey ORDER BY score DESC, l_linenumber)) WHERE r = 1")
 def best_bindings(spark, d):
-    """The best candidate with its lead."""
+    """The best candidate with its lead; C3 is float_matches."""
     return ordered.best_with_margin(_bindings(spark, d).select("o_orderkey", "score", "l_linenumber"), ["o_orderkey"], "score", "l_linenumber").select("o_orderkey", "score", "lead", "bound")
 
 
+@query("SELECT o_orderkey, l_linenumber, l_partkey, score, CASE WHEN l_returnflag = 'R' THEN 'error' WHEN score >= 80 THEN 'ok' WHEN score >= 50 THEN 'need_review' ELSE 'warning' END AS status FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 30 + CASE WHEN l_suppkey % 2 = 0 THEN 20 ELSE 0 END + CASE WHEN l_linenumber = 1 + o_orderkey % 4 THEN 35 ELSE 0 END + CASE WHEN l_partkey % 6 <= 1 THEN 15 WHEN l_partkey % 6 <= 3 THEN 5 ELSE 0 END END AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
+def evidence_scores(spark, d):
+    """H30 with its refusal of other sections, H32."""
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    same = F.col("l_returnflag") != "R"
+    rows = rows.withColumn("score", scores.evidence(same, F.col("l_suppkey") % 2 == 0, F.col("l_linenumber") == 1 + F.col("o_orderkey") % 4, F.col("l_partkey") % 6))
+    return rows.select("o_orderkey", "l_linenumber", "l_partkey", "score", scores.evidence_status(same, F.col("score")).alias("status"))
+
+
+@query("""WITH RECURSIVE x AS (SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS l_linenumber FROM lineitem),
+c AS (SELECT l_orderkey, l_linenumber, l_linenumber % 2 AS section, 3 * l_linenumber + l_partkey % 3 AS flow, CASE WHEN l_partkey % 2 = 0 THEN 'table' ELSE 'figure' END AS kind, CASE WHEN l_partkey % 5 = 0 THEN '' ELSE l_linenumber::VARCHAR END AS number FROM x),
+o AS (SELECT l_orderkey, l_linenumber AS obj, l_linenumber % 2 AS section, 3 * l_linenumber + l_suppkey % 3 AS flow, CASE WHEN l_suppkey % 3 = 0 THEN 'table' ELSE 'image' END AS kind, (1 + (l_linenumber + 2 * (l_suppkey % 2)) % 7)::VARCHAR AS number FROM x),
+p AS (SELECT c.l_orderkey, c.l_linenumber, o.obj, abs(c.flow - o.flow) AS d, c.kind AS ck, o.kind AS ok, c.number AS cn, o.number AS onum FROM c LEFT JOIN o ON c.l_orderkey = o.l_orderkey AND c.section = o.section),
+s AS (SELECT l_orderkey, l_linenumber, obj, greatest(0, least(100, 35 + CASE WHEN cn <> '' AND cn = onum THEN 35 ELSE 0 END + CASE WHEN d <= 1 THEN 20 WHEN d <= 3 THEN 10 ELSE 0 END + CASE WHEN ck = 'table' AND ok = 'image' AND d <= 3 AND cn <> onum THEN CASE WHEN d <= 1 THEN 40 ELSE 35 END WHEN (ck = 'figure' AND ok = 'image') OR (ck = 'table' AND ok = 'table') THEN 15 ELSE -10 END))::BIGINT AS score FROM p),
+g AS (SELECT l_orderkey, l_linenumber, list({'score': score, 'obj': obj::BIGINT} ORDER BY score DESC, obj) AS found FROM s GROUP BY l_orderkey, l_linenumber),
+a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM g),
+r AS (SELECT DISTINCT l_orderkey, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS l_linenumber, NULL::BIGINT AS object, 0::BIGINT AS score FROM a UNION ALL
+SELECT l_orderkey, k, CASE WHEN ok THEN list_append(used, f[1].obj) ELSE used END, l_linenumber, CASE WHEN ok THEN f[1].obj END, coalesce(f[1].score, 0) FROM (SELECT *, coalesce(f[1].score, 0) >= 80 AND f[1].score - coalesce(f[2].score, 0) >= 15 AS ok FROM (SELECT a.l_orderkey, a.k, r.used, a.l_linenumber::BIGINT AS l_linenumber, list_filter(a.found, lambda x: NOT list_contains(r.used, x.obj)) AS f FROM r JOIN a ON a.l_orderkey = r.l_orderkey AND a.k = r.k + 1)))
+SELECT l_orderkey, l_linenumber, object, score FROM r WHERE k > 0""")
+def float_matches(spark, d):
+    """Captions in order, candidates of their section, each object once."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))  # line numbers repeat
+    rows, line = table(spark, d, "lineitem").withColumn("l_linenumber", place.cast("long")), F.col("l_linenumber")
+    captions = rows.select(
+        "l_orderkey", "l_linenumber", (line % 2).alias("section"), (3 * line + F.col("l_partkey") % 3).alias("flow"),
+        F.when(F.col("l_partkey") % 2 == 0, "table").otherwise("figure").alias("caption"), F.when(F.col("l_partkey") % 5 == 0, "").otherwise(line.cast("string")).alias("number"),
+    )
+    objects = rows.select(
+        "l_orderkey", line.alias("target"), (line % 2).alias("section"), (3 * line + F.col("l_suppkey") % 3).alias("object_flow"),
+        F.when(F.col("l_suppkey") % 3 == 0, "table").otherwise("image").alias("kind"), (1 + (line + 2 * (F.col("l_suppkey") % 2)) % 7).cast("string").alias("object_number"),
+    )
+    score = scores.float_match(F.col("number"), F.col("object_number"), F.abs(F.col("flow") - F.col("object_flow")), F.col("caption"), F.col("kind"))
+    pairs = captions.join(objects, ["l_orderkey", "section"], "left").withColumn("score", score)
+    return ordered.bound_once(pairs, "l_orderkey", "l_linenumber", "target", "score")
+
+
+@query("WITH x AS (SELECT l_orderkey, l_linenumber, 'fig' || (1 + l_partkey % 5) || CASE WHEN l_suppkey % 2 = 0 THEN 'a' ELSE '' END AS rid FROM lineitem), t AS (SELECT DISTINCT l_orderkey, 'fig' || l_linenumber || CASE WHEN l_suppkey % 3 = 0 THEN 'a' ELSE '' END AS rid FROM lineitem), y AS (SELECT x.*, NULLIF(regexp_extract(x.rid, '^([Ff][Ii][Gg][0-9]+)[A-Za-z]$', 1), '') AS parent FROM x) SELECT y.l_orderkey, y.l_linenumber, y.rid, coalesce(t.rid, u.rid) AS target, CASE WHEN t.rid IS NOT NULL THEN 'valid' WHEN u.rid IS NOT NULL THEN 'parent' ELSE 'missing' END AS status FROM y LEFT JOIN t ON y.l_orderkey = t.l_orderkey AND y.rid = t.rid LEFT JOIN t u ON y.l_orderkey = u.l_orderkey AND y.parent = u.rid")
+def subfigure_targets(spark, d):
+    """Targets, with a sub-figure's figure where it has none of its own."""
+    rows = table(spark, d, "lineitem")
+    name = lambda n, sub: F.concat(F.lit("fig"), n.cast("string"), F.when(sub, "a").otherwise(""))
+    xrefs = rows.select("l_orderkey", "l_linenumber", name(1 + F.col("l_partkey") % 5, F.col("l_suppkey") % 2 == 0).alias("rid"))
+    targets = rows.select("l_orderkey", name(F.col("l_linenumber"), F.col("l_suppkey") % 3 == 0).alias("rid"))
+    return matching.resolved_targets(xrefs, targets, ["l_orderkey"], "rid")
+
+
 @query("SELECT c.conv_id, set_score, bag_score, count_score FROM (SELECT conv_id, (CASE WHEN len(sa) = 0 AND len(sb) = 0 THEN 100 WHEN len(sa) = 0 OR len(sb) = 0 THEN 0 ELSE 200 * len(list_intersect(sa, sb)) // (len(sa) + len(sb)) END)::BIGINT AS set_score, (CASE WHEN len(ta) = 0 AND len(tb) = 0 THEN 100 WHEN len(ta) = 0 OR len(tb) = 0 THEN 0 ELSE 200 * list_sum(list_transform(sa, lambda t: least(len(list_filter(ta, lambda u: u = t)), len(list_filter(tb, lambda u: u = t))))) // (len(ta) + len(tb)) END)::BIGINT AS bag_score, (CASE WHEN len(ta) = 0 AND len(tb) = 0 THEN 100 ELSE 100 * least(len(ta), len(tb)) // greatest(len(ta), len(tb)) END)::BIGINT AS count_score FROM (SELECT conv_id, ta, tb, list_distinct(ta) AS sa, list_distinct(tb) AS sb FROM (SELECT a.conv_id, list_filter(regexp_split_to_array(lower(a.text), '[^a-z0-9]+'), lambda w: w <> '') AS ta, list_filter(regexp_split_to_array(lower(b.text), '[^a-z0-9]+'), lambda w: w <> '') AS tb FROM (SELECT conv_id, min(text) AS text FROM conversations WHERE turn = 0 GROUP BY 1) a JOIN (SELECT conv_id, min(text) AS text FROM conversations WHERE turn = 1 GROUP BY 1) b USING (conv_id)))) c")
 def token_scores(spark, d):
     """Set, bag and count scores of two texts."""
