@@ -112,22 +112,22 @@ def released(spark: SparkSession) -> None:
 
 
 def sets(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """Written: doc_id, node, n, prefix (of the first order)."""
+    """Written: doc_id, hash (of the text), node, n, prefix (of the first order)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t or b"", words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0), "node": pa.array([node_of(s) if len(s) else None for s in found], pa.int64()),
+                "doc_id": batch.column(0), "hash": batch.column(2), "node": pa.array([node_of(s) if len(s) else None for s in found], pa.int64()),
                 "n": pa.array([len(s) for s in found], pa.int64()),
                 "prefix": pa.array([s[: prefix_length(len(s), int(shared_needed(len(s))), percent)].view(np.int64) for s in found], pa.list_(pa.int64())),
             })
 
-    return written(_texts(docs).mapInArrow(run, "doc_id long, node long, n long, prefix array<long>"), "sets")
+    return written(_texts(docs).mapInArrow(run, "doc_id long, hash long, node long, n long, prefix array<long>"), "sets")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("hash"))
 
 
 def _fits(a: str, b: str, percent: int) -> F.Column:
@@ -379,11 +379,19 @@ def far_pairs(rows: DataFrame, part: DataFrame, guest: DataFrame, percent: int)
 
 def join_components(docs: DataFrame, percent: int = PERCENT, rounds: int = STARS, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    return joined(docs, percent, rounds, words).select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    )
+
+
+def joined(docs: DataFrame, percent: int = PERCENT, rounds: int = STARS, words: int = WORDS) -> DataFrame:
+    """doc_id, hash, n, component_id, first (the component's smallest doc_id and text hash) of every row."""
     spark = docs.sparkSession
     short_batches(spark)
     rows = sets(docs, percent, words)
     usable = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = written(usable.groupBy("node").agg(F.min("doc_id").alias("low")), "nodes")
+    nodes = written(usable.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "hash")).alias("first")), "nodes")
     index = indexed(usable, percent)
     released(spark)
     tried, links, part = None, spark.createDataFrame([], "a long, b long"), None
@@ -415,19 +423,17 @@ def join_components(docs: DataFrame, percent: int = PERCENT, rounds: int = STARS
         if more.head(1):
             part = components(links.union(more))
     ends = nodes.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = ends.groupBy("component").agg(F.min("low").alias("component_id"))
-    ids = ends.join(lowest, "component").select("node", "component_id")
+    lowest = ends.groupBy("component").agg(F.min("low").alias("component_id"), F.min("first").alias("first"))
+    ids = ends.drop("first").join(lowest, "component").select("node", "component_id", "first")
     released(spark)
-    return rows.join(ids, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    return rows.join(ids, "node", "left").select("doc_id", "hash", "n", "component_id", "first")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The input's rows less those of a component other than its smallest doc_id; repeated rows become one.
-    Rows without doc_id or without words stay."""
-    found = join_components(docs, **options).filter("doc_id IS NOT NULL AND component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    rest = docs.join(found, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    """The input's rows less those of a component other than its smallest doc_id and text; rows alike in both become
+    one, so texts that only share a doc_id stay. Rows without doc_id or without words stay."""
+    others = joined(docs, **options).filter("doc_id IS NOT NULL AND n > 0 AND (doc_id <> first.doc_id OR hash <> first.hash)")
+    found = others.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct()
+    rest = docs.join(found, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    first = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
     return rest.withColumn("_first", first).filter((F.col("_first") == 1) | F.col("doc_id").isNull()).drop("_first")
