@@ -27,7 +27,6 @@ TOKEN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{{MIN_T
 THRESHOLD = 0.0
 #: Documents from which ordinary words are learnt (those of the lowest id hashes), and random strings made.
 SAMPLE_DOCS = 500
-SAMPLE_WORDS = 200
 RANDOM_STRINGS = 2000
 #: Characters that the models tell apart; any other is one class, 0.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -49,10 +48,10 @@ def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFra
         F.lit(True).alias("secret"),
     )
     ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    words = F.slice(F.filter(F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0)), lambda w: w.rlike("^[A-Za-z]{2,24}$")), 1, SAMPLE_WORDS)
+    words = F.filter(F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0)), lambda w: w.rlike("^[A-Za-z]{2,24}$"))
     sampled = docs.join(F.broadcast(ids.filter("doc_id IS NOT NULL")), "doc_id", "left_semi").select(words.alias("words"))
     # Neighbours by zipping: a lambda that reads an outer array could have it computed anew for each element.
-    pairs = F.zip_with("words", F.slice("words", 2, SAMPLE_WORDS), lambda a, b: F.concat(a, F.lit("_"), b, F.lit("_"), F.length(a).cast("string")))
+    pairs = F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat(a, F.lit("_"), b, F.lit("_"), F.length(a).cast("string")))
     plain = sampled.select(F.explode(F.concat("words", F.filter(pairs, lambda t: t.isNotNull()))).alias("token"), F.lit(False).alias("secret"))
     # Identifiers that do not depend on the documents, so that models hold for any table: Spark's function names.
     names = spark.sql("SHOW FUNCTIONS").filter("function RLIKE '^[a-z][a-z0-9_]+$'")
