@@ -1,18 +1,22 @@
-"""Quality rules: fixed counts, and a hashed n-gram log-likelihood ratio with a fixed threshold.
-
-Words and pairs of neighbouring words are hashed into buckets; two multinomials over the buckets, one of the
-trusted target texts and one of the whole corpus, give each n-gram log(p_target / p_corpus). A document's
-score is the mean over its n-grams; it is kept where the base rules pass and the score reaches THRESHOLD.
-The target's multinomial is smoothed with the corpus's. Only DataFrame functions run.
-
-Smoothing and buckets follow the tables, so that a score means the same at any size: the prior is PRIOR_SHARE
-of the trusted n-grams, so an n-gram that no trusted text has weighs log(PRIOR_SHARE / (1 + PRIOR_SHARE)); there
-is a bucket for each GRAMS_A_BUCKET distinct n-grams at least, and never fewer than BUCKETS. Ratios are sent
-to all tasks up to MOST_SENT_BUCKETS buckets and joined by shuffle beyond.
-
-Defined cases: a null text has no words, fails the base rules and has score 0; repeated rows are separate
-documents and are counted as often; trusted ids that are null or match no document count nothing, and with
-no trusted text at all every score is 0, so only the base rules decide; an empty table gives an empty result.
+"""Quality rules: fixed counts, and a hashed n-gram log-likelihood ratio with a threshold taken from the trusted texts.
+
+Words and pairs of neighbouring words are hashed into buckets of their own; two multinomials over the buckets, one of
+the trusted target texts and one of the whole corpus, give each n-gram log(p_target / p_corpus). Both are smoothed by
+PSEUDO occurrences a bucket at the corpus's rate, so an n-gram says as much as its counts do, at any size of the
+tables. A text is scored without itself: one occurrence of each of its n-grams is taken from the corpus's counts, and
+from the trusted ones too where the text is trusted. Its score is the mean over its n-grams.
+
+The threshold lies SPREADS standard deviations (MIN_SPREAD at least) below the mean score of the trusted texts that
+pass the base rules; a text is kept where the base rules pass and its score reaches it. The rule holds no number that
+depends on the tables' size. Ratios are whole multiples of 1 / SCALE, so sums do not depend on the order of rows. Only
+DataFrame functions run; texts are cut and hashed once to count and once to score, inside the row: no n-gram is
+shuffled but as a count of its bucket. The ratios are one constant of `buckets` whole numbers a kind of n-gram,
+MOST_BUCKETS at most, whatever the corpus's size.
+
+Defined cases: a null text has no words, fails the base rules and has score 0; texts of any length are read whole;
+repeated rows are separate documents and are counted as often; trusted ids that are null or match no document count
+nothing, and with no trusted text at all every score is 0, so only the base rules decide; an empty table gives an
+empty result; further columns, whatever their names, are not read by the rules and are kept by kept_documents.
 """
 
 from __future__ import annotations
@@ -22,20 +26,23 @@ from pyspark.sql import functions as F
 
 from ._shared import WORD, text_of, written
 
+#: Buckets of the words, and again of the pairs.
 BUCKETS = 1 << 16
-#: The prior at sf0.01, of whose trusted n-grams PRIOR_SHARE is this many.
-PRIOR = 20_000.0
-PRIOR_SHARE = 0.0725
-GRAMS_A_BUCKET = 6
-THRESHOLD = -0.35
+MOST_BUCKETS = 1 << 20
+PSEUDO = 3.0
+SPREADS = 4.0
+MIN_SPREAD = 0.03
+SCALE = 2048
+#: A packed ratio is two numbers below 2 ** 15, for other texts and for trusted ones, each raised by ZERO.
+HALF = 1 << 15
+ZERO = 1 << 14
 MIN_WORDS = 20
 MAX_REPEAT_SHARE = 30
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-#: Trusted ids are sent to all tasks up to this many (16 MB); beyond, they are joined by shuffle.
+BLANKS = " \t\x0b\x0c\r"
+#: Trusted ids are sent to all tasks up to this many (some 60 MB); beyond, they are joined by shuffle.
 MOST_SENT_IDS = 1_000_000
-#: Ratios are sent to all tasks up to so many buckets (some 60 MB); beyond, they are joined by shuffle.
-MOST_SENT_BUCKETS = 1 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -46,18 +53,31 @@ def _neighbour(array: Column, by: int) -> Column:
     return F.slice(array, 1 + by, F.greatest(F.size(array) - by, F.lit(0)))
 
 
-def repeated_words(rows: DataFrame, words: str, out: str) -> DataFrame:
-    """Adds how many words lie in windows that come twice or more in their text.
+def _joined(hashes: str, by: int) -> Column:
+    """Hashes of runs of 2 * by words from those of runs of `by`."""
+    h = F.col(hashes)
+    both = F.zip_with(h, _neighbour(h, by), lambda a, b: F.xxhash64(a, b))
+    return F.slice(both, 1, F.greatest(F.size(h) - by, F.lit(0)))
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    """Adds words, and the hashes h1 and h2 of words and pairs; of rows with text."""
+    rows = rows.withColumn("words", words_of(F.col("text")))
+    rows = rows.withColumn("h1", F.transform("words", lambda w: F.xxhash64(w)))
+    return rows.withColumn("h2", _joined("h1", 1))
 
-    Window hashes are sorted with their places; equal neighbours are repeats; their places, in order, cover
-    up to WINDOW words each. Arrays meet by zipping, never inside a lambda.
+
+def repeated_words(rows: DataFrame) -> DataFrame:
+    """Adds n_repeat_words: how many words lie in windows that come twice or more in their text.
+
+    Window hashes grow by doubling: 2, 4, 8 words. Where two are alike they are sorted with their places; equal
+    neighbours are repeats; their places, in order, cover up to WINDOW words each. Arrays meet by zipping, never
+    inside a lambda.
     """
-    w, h, s = F.col(words), F.col("_hashes"), F.col("_sorted")
-    zipped = F.arrays_zip(*(_neighbour(w, k).alias(f"w{k}") for k in range(WINDOW)))
-    hashes = F.slice(F.transform(zipped, lambda z: F.xxhash64(*(z[f"w{k}"] for k in range(WINDOW)))), 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0)))
-    rows = rows.withColumn("_hashes", F.when(F.size(w) > WINDOW, hashes).otherwise(F.array().cast("array<long>")))
+    h, s = F.col("h8"), F.col("sorted")
+    rows = rows.withColumn("h4", _joined("h2", 2)).withColumn("h8", _joined("h4", 4))
     paired = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    rows = rows.withColumn("_sorted", F.when(F.size(F.array_distinct(h)) < F.size(h), paired).otherwise(F.array().cast("array<struct<h:long,i:int>>")))
+    rows = rows.withColumn("sorted", F.when(F.size(F.array_distinct(h)) < F.size(h), paired).otherwise(F.array().cast("array<struct<h:long,i:int>>")))
     nobody = F.array(F.lit(None).cast("struct<h:long,i:int>"))
     sides = F.arrays_zip(F.concat(nobody, s).alias("a"), s.alias("b"), _neighbour(s, 1).alias("c"))
     again = F.filter(sides, lambda z: z["b"].isNotNull() & (z["b"]["h"].eqNullSafe(z["a"]["h"]) | z["b"]["h"].eqNullSafe(z["c"]["h"])))
@@ -67,79 +87,93 @@ def repeated_words(rows: DataFrame, words: str, out: str) -> DataFrame:
         return F.struct((at + WINDOW).alias("end"), (seen["n"] + WINDOW - F.greatest(seen["end"] - at, F.lit(0))).alias("n"))
 
     covered = F.aggregate(places, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), cover, lambda seen: seen["n"])
-    return rows.withColumn(out, F.when(F.size(s) > 0, covered).otherwise(F.lit(0)).cast("long")).drop("_hashes", "_sorted")
+    return rows.withColumn("n_repeat_words", F.when(F.size(s) > 0, covered).otherwise(F.lit(0)).cast("long")).drop("h4", "h8", "sorted")
 
 
 def base_rules(rows: DataFrame) -> DataFrame:
-    """Adds _words and the base columns to rows with _text."""
-    t = F.col("_text")
-    rows = rows.withColumn("_words", words_of(t)).withColumn("_lines", F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)))
-    rows = rows.withColumn("n_words", F.size("_words").cast("long"))
-    rows = rows.withColumn("word_chars", F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"))
-    rows = rows.withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
-    rows = rows.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
-    rows = repeated_words(rows, "_words", "n_repeat_words")
+    """Adds the base columns to hashed rows."""
+    t = F.col("text")
+    rows = rows.withColumn("lines", F.filter(F.split(t, "\n", -1), lambda x: F.ltrim(x, F.lit(BLANKS)) != ""))
+    rows = rows.withColumn("n_words", F.size("words").cast("long"))
+    rows = rows.withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
+    rows = rows.withColumn("n_symbols", F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long"))
+    rows = rows.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
+    rows = repeated_words(rows)
     return rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words")))
 
 
-def hashes_of(words: Column) -> Column:
-    """The hashes of a text's words and pairs of neighbours."""
-    n = F.size(words)
-    pairs = F.slice(F.zip_with(words, _neighbour(words, 1), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(n - 1, F.lit(0)))
-    return F.concat(F.transform(words, lambda w: F.xxhash64(w)), pairs)
-
-
-def buckets_of(words: Column, buckets: int) -> Column:
-    """The buckets of a text's words and pairs of neighbours."""
-    return F.transform(hashes_of(words), lambda h: F.pmod(h, F.lit(buckets)))
-
+def buckets_of(buckets: int) -> Column:
+    """The buckets of hashed rows' words, then of their pairs."""
+    return F.concat(F.transform("h1", lambda h: F.pmod(h, F.lit(buckets))), F.transform("h2", lambda h: F.pmod(h, F.lit(buckets)) + buckets))
 
-def buckets_for(docs: DataFrame) -> int:
-    """A power of two: at most GRAMS_A_BUCKET distinct n-grams (estimated) a bucket, BUCKETS at least."""
-    grams = docs.select(F.explode(hashes_of(words_of(F.col("_text")))).alias("h"))
-    distinct = grams.agg(F.approx_count_distinct("h", 0.02).alias("n")).first()["n"]
-    return max(BUCKETS, 1 << max(0, -(-distinct // GRAMS_A_BUCKET) - 1).bit_length())
 
-
-def ratios(docs: DataFrame, trusted: DataFrame, buckets: int, prior: float | None = None) -> DataFrame:
-    """bucket, ratio: a row for each bucket that the corpus uses, `buckets` at most. trusted: a column of ids."""
-    ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("_id")).filter("_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(1))
+def with_trusted(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Adds trusted, whether the row's doc_id is among the first column's ids."""
+    ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("known", F.lit(True))
     if ids.count() <= MOST_SENT_IDS:
         ids = F.broadcast(ids)
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "_text").join(ids, "_id", "left")
-    grams = texts.select(F.explode(buckets_of(words_of(F.col("_text")), buckets)).alias("bucket"), F.coalesce("_trusted", F.lit(0)).alias("own"))
-    counts = written(grams.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("own").alias("own")), "ngram-counts")
+    return rows.join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("known", F.lit(False))).drop("known")
+
+
+def ratios(rows: DataFrame, buckets: int, pseudo: float = PSEUDO) -> Column | None:
+    """The packed ratios by bucket, as one constant; None where no text is trusted. rows: text, trusted."""
+    # One key for bucket and side, so that a count is all that a task keeps of it.
+    grams = hashed(rows.select("text", "trusted")).select(F.explode(buckets_of(buckets)).alias("bucket"), "trusted")
+    keyed = grams.select((F.col("bucket") * 2 + F.col("trusted").cast("long")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    sides = keyed.groupBy((F.col("key") / 2).cast("long").alias("bucket")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("key") % 2 == 1, F.col("n")).otherwise(0)).alias("own"))
+    counts = written(sides, "ngram-counts")
     whole = counts.agg(F.sum("n").alias("n"), F.sum("own").alias("own")).first()
     if not whole["own"]:
-        return counts.select("bucket", F.lit(0.0).alias("ratio"))
-    if prior is None:
-        prior = PRIOR_SHARE * whole["own"]
-    # One occurrence is the scored text's own: without it, small corpora would count against every text.
-    corpus = (F.col("n") - 1) / F.lit(float(whole["n"]))
-    target = (F.col("own") + F.lit(prior) * corpus) / F.lit(whole["own"] + prior)
-    return counts.select("bucket", F.when(F.col("n") > 1, F.log(target / corpus)).otherwise(F.lit(0.0)).alias("ratio"))
+        return None
+    share = whole["own"] / whole["n"]
+    others = F.greatest(F.col("n") - 1, F.lit(0))
+
+    def ratio(own: Column) -> Column:
+        scaled = F.round(SCALE * F.log((own + pseudo * share) / (share * (others + pseudo)))).cast("int")
+        return F.least(F.greatest(scaled + ZERO, F.lit(0)), F.lit(HALF - 1))
+
+    packed = ratio(F.least(F.col("own"), others)) * HALF + ratio(F.greatest(F.col("own") - 1, F.lit(0)))
+    empty = ZERO * HALF + ZERO
+    table = [empty] * (2 * buckets)
+    for r in counts.select("bucket", packed.alias("packed")).toLocalIterator():  # 2 * buckets rows at most
+        table[r["bucket"]] = r["packed"]
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")  # folded to a constant
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int | None = None, prior: float | None = None) -> DataFrame:
-    """doc_id, text_hash, the base columns, score and kept of every row. buckets, prior: None takes what fits the tables."""
-    keep = ["doc_id", "text_hash"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), text_of().cast("string").alias("_text"))
-    if buckets is None:
-        buckets = buckets_for(rows)
-    table = ratios(rows, trusted, buckets, prior)
-    table = F.broadcast(table) if buckets <= MOST_SENT_BUCKETS else table.hint("merge")
-    based = base_rules(rows).withColumn("_row", F.monotonically_increasing_id())
-    grams = based.select("_row", *keep, *BASE, F.explode_outer(buckets_of(F.col("_words"), buckets)).alias("bucket"))
-    scored = grams.join(table, "bucket", "left").groupBy("_row").agg(
-        *(F.first(c).alias(c) for c in (*keep, *BASE)), (F.coalesce(F.sum("ratio"), F.lit(0.0)) / F.count("*")).alias("score")
-    )
-    return scored.drop("_row").withColumn("kept", ~F.col("base_failed") & (F.round("score", 9) >= threshold))
+def judged(docs: DataFrame, trusted: DataFrame, carried: Column, buckets: int = BUCKETS, pseudo: float = PSEUDO, spreads: float = SPREADS, min_spread: float = MIN_SPREAD) -> DataFrame:
+    """carried, the base columns, score and kept of every row."""
+    if buckets > MOST_BUCKETS:
+        raise ValueError(f"at most {MOST_BUCKETS} buckets: their ratios are sent to all tasks")
+    rows = with_trusted(docs.select(carried.alias("carried"), F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("string").alias("text")), trusted)
+    table = ratios(rows, buckets, pseudo)
+    based = base_rules(hashed(rows))
+    if table is None:
+        scored = based.withColumn("score", F.lit(0.0))
+    else:
+        own = F.col("trusted")
+
+        def add(total: Column, bucket: Column) -> Column:
+            packed = F.get(table, bucket.cast("int"))
+            return total + F.when(own, packed.bitwiseAND(HALF - 1)).otherwise(F.shiftright(packed, 15))
+
+        based = based.withColumn("buckets", buckets_of(buckets)).withColumn("n", F.size("buckets"))
+        total = F.aggregate("buckets", F.lit(0).cast("long"), add)
+        scored = based.withColumn("score", F.when(F.col("n") > 0, (total - ZERO * F.col("n")) / (SCALE * F.col("n"))).otherwise(F.lit(0.0)))
+    scored = written(scored.select("carried", *BASE, "trusted", "score"), "scores")
+    known = scored.filter("trusted AND NOT base_failed").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("spread")).first()
+    threshold = None if known["mean"] is None or table is None else round(known["mean"] - spreads * max(known["spread"], min_spread), 4)
+    fit = F.lit(True) if threshold is None else F.col("score") >= threshold
+    return scored.drop("trusted").withColumn("kept", ~F.col("base_failed") & fit)
+
+
+def quality_rules(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
+    """doc_id, the base columns, score and kept of every row. trusted: ids of the target texts, in the first column."""
+    return judged(docs, trusted, F.col("doc_id").cast("long"), **options).withColumnRenamed("carried", "doc_id")
 
 
 def kept_documents(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
-    """The input's rows that are kept, by id and text: rows alike in both are judged alike."""
-    kept = quality_rules(docs, trusted, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_semi")
+    """The input's rows that are kept."""
+    return judged(docs, trusted, F.struct(*(F.col(f"`{c}`") for c in docs.columns)), **options).filter("kept").select("carried.*")

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm.quality_rules import BUCKETS, PRIOR, THRESHOLD, quality_rules
+from quire.llm.quality_rules import BUCKETS, MIN_SPREAD, PSEUDO, SCALE, SPREADS, kept_documents, quality_rules
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -33,27 +33,40 @@ def check(spark, docs, trusted):
         words = WORDS.findall(r["text"] or "")
         grams.append([(w, None) for w in words] + list(zip(words, words[1:])))
     known = spark.createDataFrame(sorted({g for x in grams for g in x}, key=str) or [("", None)], "a string, b string")
-    hashed = known.select("a", "b", F.pmod(F.when(F.col("b").isNull(), F.xxhash64("a")).otherwise(F.xxhash64("a", "b")), F.lit(BUCKETS)).alias("k")).collect()
+    pair = F.pmod(F.xxhash64(F.xxhash64("a"), F.xxhash64("b")), F.lit(BUCKETS)) + BUCKETS
+    hashed = known.select("a", "b", F.when(F.col("b").isNull(), F.pmod(F.xxhash64("a"), F.lit(BUCKETS))).otherwise(pair).alias("k")).collect()
     bucket = {(r["a"], r["b"]): r["k"] for r in hashed}
     n, own = Counter(), Counter()
     for r, g in zip(plain, grams):
         n.update(bucket[x] for x in g)
         if r["doc_id"] in ids:
             own.update(bucket[x] for x in g)
-    whole, whole_own = sum(n.values()), sum(own.values())
-
-    def ratio(k):
-        if n[k] <= 1 or not whole_own:
-            return 0.0
-        p = (n[k] - 1) / whole
-        return math.log((own[k] + PRIOR * p) / (whole_own + PRIOR) / p)
-
-    want = []
-    for r, g in zip(plain, grams):
-        score = sum(ratio(bucket[x]) for x in g) / max(1, len(g))
-        want.append((r["doc_id"], *base(r["text"]), not base(r["text"])[-1] and round(score, 9) >= THRESHOLD))
-    rows = quality_rules(docs, trusted).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
-    assert sorted(map(tuple, rows), key=str) == sorted(want, key=str)
+    share = sum(own.values()) / max(1, sum(n.values()))
+
+    def ratio(k, mine):
+        if not share:
+            return 0
+        others = max(n[k] - 1, 0)
+        left = max(own[k] - 1, 0) if mine else min(own[k], others)
+        x = SCALE * math.log((left + PSEUDO * share) / (share * (others + PSEUDO)))
+        return math.floor(abs(x) + 0.5) * (1 if x > 0 else -1)
+
+    scores = [sum(ratio(bucket[x], r["doc_id"] in ids) for x in g) / (SCALE * max(1, len(g))) for r, g in zip(plain, grams)]
+    trusted_scores = [s for s, r in zip(scores, plain) if r["doc_id"] in ids and not base(r["text"])[-1]]
+    least = -math.inf
+    if share and trusted_scores:
+        mean = sum(trusted_scores) / len(trusted_scores)
+        spread = math.sqrt(sum((s - mean) ** 2 for s in trusted_scores) / len(trusted_scores))
+        least = mean - SPREADS * max(spread, MIN_SPREAD)
+    got = quality_rules(docs, trusted).collect()
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+    want = sorted(((r["doc_id"], *base(r["text"]), s) for r, s in zip(plain, scores)), key=str)
+    rows = sorted((tuple(r[c] for c in columns) for r in got), key=str)
+    assert [r[:7] for r in rows] == [w[:7] for w in want]
+    for r, w in zip(rows, want):
+        assert r[7] == pytest.approx(w[7], abs=1e-9)
+        if abs(r[7] - least) > 1e-3:
+            assert r[8] == (not r[6] and r[7] >= least)
 
 
 def test_rules_against_brute_force(spark, odd, none, small):
@@ -67,6 +80,20 @@ def test_rules_against_brute_force(spark, odd, none, small):
     check(spark, spark.createDataFrame(repeats, "doc_id long, text string"), nobody)
 
 
+def test_kept_rows_with_any_columns(spark, small):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1").select("doc_id")
+    kept = {r["doc_id"] for r in quality_rules(small, labels).filter("kept").collect()}
+    odd = small
+    for c in ("_id", "_hash", "_text", "carried", "trusted", "known", "words", "h1", "h2", "h8", "sorted", "lines", "score", "kept", "n_words", "buckets", "a.b"):
+        odd = odd.withColumn(c, F.lit(c))
+    rows = kept_documents(odd, labels)
+    assert rows.columns == odd.columns
+    got = rows.collect()
+    assert {r["doc_id"] for r in got} == kept and len(got) == len(kept) and {r["_hash"] for r in got} == {"_hash"}
+    with pytest.raises(ValueError):
+        quality_rules(small, labels, buckets=1 << 30)
+
+
 def test_scores_tell_held_out_labels(spark, small):
     from quire.llm.quality_score import quality_scores
 
