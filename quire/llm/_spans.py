@@ -2,7 +2,8 @@
 
 A span is (start, kind, end): code points, end exclusive, kind as a number from 1 in the order of the list
 of kinds. Between a pattern's matches lie the pieces that split() gives, so lengths of pieces and matches
-add up to the places.
+add up to the places. Spans are gathered in short runs that are added to the list when full, so a text with many
+spans costs in proportion to its length, not to its square.
 """
 
 from __future__ import annotations
@@ -13,25 +14,46 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
+#: Spans, or parts of a text, that are gathered before they are added to the list.
+RUN = 256
 
 
 def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def matches(text: Column, pattern: str, kind: int, keep: Callable[[Column], Column], hint: Column | None = None) -> Column:
-    """Spans of the leftmost, non-overlapping matches that `keep` holds for. hint: false where there is none."""
+def _gathered(items: Column, start: dict[str, Column], kind: str, step: Callable[[Column, Column], tuple[dict[str, Column], Column, Column]]) -> Column:
+    """Fold items with the state `start`; step gives the new state, whether to add an element, and the element."""
+    none = F.array().cast(kind)
+
+    def run(seen: Column, item: Column) -> Column:
+        state, add, element = step(seen, item)
+        full = F.size(seen["run"]) >= RUN
+        left = F.when(full, none).otherwise(seen["run"])
+        return F.struct(
+            *(c.alias(n) for n, c in state.items()),
+            F.when(add, F.concat(left, F.array(element))).otherwise(left).alias("run"),
+            F.when(full, F.concat(seen["out"], seen["run"])).otherwise(seen["out"]).alias("out"),
+        )
+
+    begin = F.struct(*(c.alias(n) for n, c in start.items()), none.alias("run"), none.alias("out"))
+    return F.aggregate(items, begin, run, lambda seen: F.struct(seen["at"].alias("at"), F.concat(seen["out"], seen["run"]).alias("out")))
+
+
+def matches(text: Column, pattern: str, kind: int | Callable[[Column], Column], keep: Callable[[Column], Column], hint: Column | None = None) -> Column:
+    """Spans of the leftmost, non-overlapping matches that `keep` holds for; kind: a number, or one by the match.
+    hint: false where there is none."""
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
 
-    def step(seen: Column, pair: Column) -> Column:
+    def step(seen: Column, pair: Column) -> tuple[dict[str, Column], Column, Column]:
         piece, match = pair["piece"], pair["match"]
         start = seen["at"] + F.length(piece)
         end = start + F.coalesce(F.length(match), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        out = F.when(match.isNotNull() & keep(match), F.concat(seen["out"], F.array(span))).otherwise(seen["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+        number = kind(match) if callable(kind) else F.lit(kind)
+        span = F.struct(start.alias("start"), number.alias("kind"), end.alias("end"))
+        return {"at": end}, match.isNotNull() & keep(match), span
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), no_spans().alias("out")), step, lambda seen: seen["out"])
+    found = _gathered(pairs, {"at": F.lit(0)}, SPANS, step)["out"]
     return F.when(text.rlike(pattern) if hint is None else hint, found).otherwise(no_spans())
 
 
@@ -56,15 +78,14 @@ def apart(spans: Column, others: Column) -> Column:
     return F.filter(spans, lambda s: ~F.exists(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])))
 
 
-def replaced(text: Column, spans: Column, mark: str) -> Column:
-    """The text with each run of overlapping spans (ordered by start) as one mark."""
+def replaced(text: Column, spans: Column, marks: list[str]) -> Column:
+    """The text with each run of overlapping spans (ordered by start) as one mark, that of the run's first span's kind."""
+    names = F.array(*map(F.lit, marks))
 
-    def step(seen: Column, s: Column) -> Column:
-        new = s["start"] >= seen["at"]
-        out = F.when(new, F.concat(seen["out"], F.substring(text, seen["at"] + 1, s["start"] - seen["at"]), F.lit(mark))).otherwise(seen["out"])
-        return F.struct(F.greatest(seen["at"], s["end"]).alias("at"), out.alias("out"))
+    def step(seen: Column, s: Column) -> tuple[dict[str, Column], Column, Column]:
+        part = F.concat(F.call_function("substring", text, seen["at"] + 1, s["start"] - seen["at"]), F.get(names, s["kind"] - 1))
+        return {"at": F.greatest(seen["at"], s["end"])}, s["start"] >= seen["at"], part
 
-    return F.when(
-        F.size(spans) > 0,
-        F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda seen: F.concat(seen["out"], F.substring(text, seen["at"] + 1, F.length(text)))),
-    ).otherwise(text)
+    found = _gathered(spans, {"at": F.lit(0)}, "array<string>", step)
+    whole = F.concat(F.array_join(found["out"], ""), F.call_function("substring", text, found["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)

@@ -2,11 +2,13 @@
 
 Two first-order models over characters are trained from labelled samples: random strings (digests written
 in hexadecimal, base64 and letters with digits) and ordinary identifiers (words of a bounded sample of the
-documents, alone and joined as programs join them). A token of MIN_TOKEN or more characters with a digit is
-a secret where the mean log-likelihood ratio of its transitions exceeds THRESHOLD. Only DataFrame functions run.
+documents, alone and joined as programs join them, and fixed ones made of VERBS, NOUNS and numbers). A token of
+MIN_TOKEN or more characters with a digit is a secret where the mean log-likelihood ratio of its transitions exceeds
+THRESHOLD. The model depends on the documents and on nothing else of the session. Only DataFrame functions run.
 
-Defined cases: a null text is an empty one, without spans; texts are scanned whole; repeated rows repeat; an
-empty table gives an empty result; further columns are not read by the scan and are kept by redaction.
+Defined cases: a null text is an empty one, without spans; texts are scanned whole, in time in proportion to their
+length; repeated rows repeat; an empty table gives an empty result; further columns, whatever their names, are not read
+by the scan and are kept by redaction.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WORD, text_of
+from ._shared import WORD, packed, sound, text_of
 from ._spans import apart, count_of, matches, ordered, replaced, written_out
 
 KINDS = ["assign", "access", "hex", "markov"]
@@ -32,6 +34,9 @@ RANDOM_STRINGS = 2000
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CLASSES = len(ALPHABET) + 1
 MARK = "[SECRET]"
+#: Parts of fixed identifiers.
+VERBS = ["get", "set", "read", "write", "load", "save", "open", "close", "parse", "format", "create", "delete", "update", "find", "sort", "merge", "split", "count", "check", "build"]
+NOUNS = ["user", "name", "file", "path", "value", "index", "table", "column", "record", "message", "request", "response", "session", "config", "buffer", "stream", "window", "thread", "version", "timestamp"]
 
 
 def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -53,9 +58,12 @@ def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFra
     # Neighbours by zipping: a lambda that reads an outer array could have it computed anew for each element.
     pairs = F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat(a, F.lit("_"), b, F.lit("_"), F.length(a).cast("string")))
     plain = sampled.select(F.explode(F.concat("words", F.filter(pairs, lambda t: t.isNotNull()))).alias("token"), F.lit(False).alias("secret"))
-    # Identifiers that do not depend on the documents, so that models hold for any table: Spark's function names.
-    names = spark.sql("SHOW FUNCTIONS").filter("function RLIKE '^[a-z][a-z0-9_]+$'")
-    fixed = names.select(F.explode(F.array("function", F.upper("function"), F.replace(F.initcap(F.replace("function", F.lit("_"), F.lit(" "))), F.lit(" "), F.lit("")))).alias("token"), F.lit(False).alias("secret"))
+    # Identifiers that do not depend on the documents, so that models hold for any table.
+    parts = lambda words: F.explode(F.array(*map(F.lit, words)))
+    made = spark.range(1).select(parts(VERBS).alias("verb")).select("verb", parts(NOUNS).alias("noun")).select("verb", "noun", parts(["", "2", "10", "v3"]).alias("number"))
+    snake = F.concat_ws("_", "verb", "noun", F.nullif("number", F.lit("")))
+    camel = F.concat("verb", F.initcap("noun"), "number")
+    fixed = made.select(F.explode(F.array(snake, F.upper(snake), camel, F.concat(F.initcap("verb"), F.initcap("noun"), "number"))).alias("token"), F.lit(False).alias("secret"))
     return random.unionByName(plain).unionByName(fixed)
 
 
@@ -101,28 +109,30 @@ def base_spans(text: Column) -> tuple[Column, Column, Column]:
     return matches(text, ASSIGN, 1, long_value), matches(text, ACCESS, 2, every, text.contains("AKIA")), matches(text, HEX, 3, every)
 
 
-def found(docs: DataFrame, samples: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """The input with _text (null as empty), _base and _spans."""
+def found(docs: DataFrame, carried: Column, samples: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """carried, text (null as empty), base and spans of every row."""
     model = train(samples if samples is not None else labelled_samples(docs))
-    with_text = docs.withColumn("_text", text_of().cast("string"))
-    based = with_text.withColumn("_base", ordered(*base_spans(F.col("_text"))))
-    more = matches(F.col("_text"), TOKEN, 4, lambda m: randomness(m, model) > threshold)
-    return based.withColumn("_more", more).withColumn("_spans", ordered("_base", apart(F.col("_more"), F.col("_base")))).drop("_more")
+    rows = docs.select(carried.alias("carried"), F.coalesce(sound("text"), F.lit("")).alias("text"))
+    based = rows.withColumn("base", ordered(*base_spans(F.col("text"))))
+    more = matches(F.col("text"), TOKEN, 4, lambda m: randomness(m, model) > threshold)
+    return based.withColumn("more", more).withColumn("spans", ordered("base", apart(F.col("more"), F.col("base")))).drop("more")
 
 
 def scan(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
-    rows = found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), **options)
+    rows = found(docs, F.col("doc_id").cast("long"), **options)
     return rows.select(
-        "doc_id", *(count_of(F.col("_base"), k + 1).alias(f"n_{KINDS[k]}") for k in range(3)),
-        F.sha2(written_out(F.col("_base"), KINDS).cast("binary"), 256).alias("base_sha256"), written_out(F.col("_spans"), KINDS).alias("spans"),
+        F.col("carried").alias("doc_id"), *(count_of(F.col("base"), k + 1).alias(f"n_{KINDS[k]}") for k in range(3)),
+        F.sha2(written_out(F.col("base"), KINDS).cast("binary"), 256).alias("base_sha256"), written_out(F.col("spans"), KINDS).alias("spans"),
     )
 
 
 def redacted(docs: DataFrame, mark: str = MARK, **options) -> DataFrame:
     """The input's columns, each run of secrets in the text as one mark; documents without one stay as they are."""
-    rows = found(docs, **options)
-    out = rows.withColumn("text", F.when(F.size("_spans") > 0, replaced(F.col("_text"), F.col("_spans"), mark)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    rows = found(docs, packed(docs), **options).withColumn("new", replaced(F.col("text"), F.col("spans"), [mark] * len(KINDS)))
+    hit = F.size("spans") > 0
+    kept = {c: F.col(f"carried.`{c}`") for c in docs.columns}
+    kept["text"] = F.when(hit, F.col("new")).otherwise(kept["text"])
+    if "n_chars" in kept:
+        kept["n_chars"] = F.when(hit, F.length("new")).otherwise(kept["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(c.alias(n) for n, c in kept.items()))

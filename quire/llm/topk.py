@@ -1,12 +1,14 @@
 """Exact top-k inner products by tiles.
 
-Queries are taken in tiles of a bounded size; each tile is sent to all tasks, which multiply it with their
-shard of the vectors block by block and keep every query's best of the block, then of the task. The
-tasks' lists are merged in two levels. Components are floor(256 * x); products are exact integers.
+Queries are dealt into tiles of a bounded size and written; one tile at a time is sent to all tasks, which multiply it
+with their shard of the vectors block by block and keep every query's best of the block, then of the task; the tile's
+lists are written before the next tile is read, so the driver and the executors hold one tile at a time. The tasks'
+lists are merged in two levels. Components are floor(256 * x); products are exact integers.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part; vectors meet
-those of equal length only; rows that share a query's id are its own and no candidates of it; an empty
-vector's products are 0; an empty table gives an empty result.
+those of equal length only; rows that share a query's id are its own and no candidates of it; where several rows have
+a query's id, its best are those over all of them, whatever their order, and a vec_id comes once for each row of the
+pair; an empty vector's products are 0; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import written
+from ._shared import scratch
 
 TOP = 5
 EVERY = 50
 SCALE = 256
-#: Bytes of a tile of queries, which are all that the driver and a broadcast hold at once.
+#: Bytes of a tile of queries: all that the driver holds of them, and a broadcast.
 TILE_BYTES = 8 << 20
 BLOCK_ROWS = 2048
 MERGE_WAYS = 64
@@ -75,23 +77,25 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFr
     """query_id, rank, vec_id, score: of each query the k best of all rows but its own."""
     spark = vectors.sparkSession
     rows, asked = whole(vectors), whole(queries).withColumn("n", F.size("v"))
-    shapes = asked.groupBy("n").agg(F.count("*").alias("rows")).collect()  # a row for each vector length
-    parts = []
-    for shape in shapes:
-        tiles = max(1, -(-shape["rows"] * (shape["n"] + 1) * 8 // TILE_BYTES))
-        of_shape = asked.filter(F.col("n") == shape["n"])
-        for tile in range(tiles):
-            held = of_shape.filter(F.pmod(F.xxhash64("vec_id"), F.lit(tiles)) == tile).select("vec_id", "v").toPandas()  # about TILE_BYTES
+    tiles = {r["n"]: max(1, -(-r["rows"] * (r["n"] + 1) * 8 // TILE_BYTES)) for r in asked.groupBy("n").agg(F.count("*").alias("rows")).collect()}  # a row for each vector length
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if not tiles:
+        return empty
+    # Dealt by row number, so that repeats of an id or of a vector fill no tile.
+    number = F.coalesce(*(F.when(F.col("n") == n, F.lit(t)) for n, t in tiles.items()))
+    dealt, lists = scratch(spark, "tiles"), scratch(spark, "topk")
+    asked.withColumn("tile", F.pmod(F.xxhash64(F.monotonically_increasing_id()), number)).write.partitionBy("n", "tile").parquet(dealt)
+    held_tiles = spark.read.schema("vec_id long, v array<double>, n int, tile long").parquet(dealt)
+    for n, count in tiles.items():
+        shard = rows.filter(F.size("v") == n)
+        for tile in range(count):
+            held = held_tiles.filter((F.col("n") == n) & (F.col("tile") == tile)).select("vec_id", "v").toPandas()  # about TILE_BYTES
             if held.empty:
                 continue
-            held = held.drop_duplicates("vec_id")
-            parts.append(_tile(rows.filter(F.size("v") == shape["n"]), spark.sparkContext.broadcast((held["vec_id"].to_numpy(np.int64), matrix(held["v"]))), k))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    found = written(found, "topk")
+            sent = spark.sparkContext.broadcast((held["vec_id"].to_numpy(np.int64), matrix(held["v"])))
+            _tile(shard, sent, k).write.parquet(f"{lists}/part={n}-{tile}")
+            sent.destroy()
+    found = spark.read.schema("query_id long, vec_id long, score long, task int, part string").parquet(lists)
     order = [F.desc("score"), F.asc("vec_id")]
     first = found.withColumn("way", F.pmod("task", F.lit(MERGE_WAYS))).withColumn("r", F.row_number().over(W.partitionBy("query_id", "way").orderBy(*order))).filter(F.col("r") <= k)
     return (

@@ -59,7 +59,7 @@ def test_base_spans_against_brute_force(spark, odd, none, small):
 
 def test_terms_that_disclose(spark):
     texts = [f"line {i} Zebedee writes from zed@corp.example about thing{'abcdefgh'[i]} today" for i in range(5)]
-    texts += ["Nobody knows Zebedee here"] + ["people writes from home about plain matters today"] * 30
+    texts += ["Nobody knows Zebedee here"] + [f"people writes from home about plain matters today {i}" for i in range(30)]  # counts are of distinct texts
     texts += ["copied secretword near you@corp.example"] * 40
     rows = check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     spans = {r["doc_id"]: r["spans"] for r in rows}
@@ -67,6 +67,57 @@ def test_terms_that_disclose(spark):
     assert all(spans[i] == "" for i in range(6, 36)) and all("term" not in spans[i] for i in range(36, 76))
 
 
+def disclosing_terms(texts):
+    """Plain counts over distinct texts: a term leaves one bit of an entity, at most, and stands near it in three."""
+    near, holders, holds = {}, {}, {}
+    for text in set(texts):
+        for term in set(re.findall(r"[^\W\d_]{4,}", text.lower())):
+            holds.setdefault(term, set()).add(text)
+        for span in brute(text):
+            kind, a, b = span.split(":")
+            a, b = int(a), int(b)
+            left, right = text[max(0, a - 60) : a], text[b : b + 60]
+            left = re.sub(r"^[^\W\d_]+", "", left) if a > 60 else left
+            right = re.sub(r"[^\W\d_]+$", "", right) if len(right) == 60 else right
+            holders.setdefault((kind, text[a:b]), set()).add(text)
+            for term in set(re.findall(r"[^\W\d_]{4,}", (left + "\n" + right).lower())):
+                near.setdefault(((kind, text[a:b]), term), set()).add(text)
+    return {t for (_, t), x in near.items() if len(x) >= 3 and 2 * len(x) >= len(holds[t])}
+
+
+def test_term_spans_against_plain_counts(spark):
+    import random
+
+    rng = random.Random(2)
+    names, words = ["Zebedee", "Quillon", "Orsolya"], ["people", "write", "about", "plain", "matters", "today", "always", "never"]
+    texts = []
+    for i in range(120):
+        body = " ".join(rng.choices(words, k=25))
+        name = names[i % 3]
+        texts.append(f"{body} {name if rng.random() < 0.8 else ''} {name.lower()}@corp.example {rng.choice(words)} {body[:30]}" if i % 4 == 0 else f"{body} {rng.choice(names) if rng.random() < 0.02 else ''} {i}")
+    texts += texts[:6] * 5
+    terms = disclosing_terms(texts)
+    assert {"zebedee", "quillon", "orsolya"} & terms and not set(words) & terms
+    for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        text, base = texts[r["doc_id"]], brute(texts[r["doc_id"]])
+        taken = [tuple(map(int, s.split(":")[1:])) for s in base]
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]{4,}", text) if m[0].lower() in terms and not any(m.start() < b and a < m.end() for a, b in taken)]
+        assert [s for s in r["spans"].split(",") if s.startswith("term")] == want
+
+
+def test_long_text_with_a_disclosing_term(spark):
+    import time
+
+    texts = [f"line {i} Zebedee writes from zed@corp.example about thing{'abcdefgh'[i]} today" for i in range(5)]
+    texts.append("some words of plain prose go on here " * 11_000 + "Zebedee " * 2_000)
+    began = time.time()
+    rows = {r["doc_id"]: r["spans"] for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows[5].count("term") == 2_000 and time.time() - began < 30, time.time() - began
+
+
 def test_sanitised(spark):
     docs = spark.createDataFrame([(1, "to a@b.co now", "x"), (2, None, "y")], "doc_id long, text string, spans string")
-    assert sorted(map(tuple, sanitised(docs).collect())) == [(1, "to [PERSONAL] now", "x"), (2, None, "y")]
+    assert sorted(map(tuple, sanitised(docs).collect())) == [(1, "to [EMAIL] now", "x"), (2, None, "y")]
+    texts = [f"line {i} Zebedee writes from zed@corp.example today" for i in range(5)]
+    got = {r["doc_id"]: r for r in sanitised(spark.createDataFrame([(i, t, "h", "c") for i, t in enumerate(texts)], "doc_id long, text string, hash string, carried string")).collect()}
+    assert "Zebedee" not in got[0]["text"] and "[EMAIL]" in got[0]["text"] and got[0]["hash"] == "h" and got[0]["carried"] == "c"

@@ -2,6 +2,7 @@ import math
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quire.llm.topk import best, every_fiftieth
 
@@ -27,6 +28,25 @@ def test_against_brute_force(spark, monkeypatch):
     assert every_fiftieth(df.filter("false")).collect() == []
 
 
+def by_sql(rows, k=5):
+    """Every row of a query's id against every other id's rows, the best k of them all."""
+    sound = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    out = []
+    for q in sorted({i for i, _ in sound if i % 50 == 0}):
+        pairs = sorted((-sum(x * y for x, y in zip(a, v)), i) for j, a in sound if j == q for i, v in sound if i != q)
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(pairs[:k], 1)]
+    return out
+
+
+def test_repeated_query_ids_in_any_order(spark, monkeypatch):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (50, [0.5, 0.5]), (50, [0.5, 0.5]), (3, [1.0, 0.0]), (3, [1.0, 0.0])]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<float>").withColumn("n", F.lit("x")).withColumn("tile", F.lit("y"))
+        assert sorted(map(tuple, every_fiftieth(df).collect())) == by_sql(rows)
+    monkeypatch.setattr("quire.llm.topk.TILE_BYTES", 30)
+    assert sorted(map(tuple, every_fiftieth(df).collect())) == by_sql(rows)
+
+
 def test_large_numbers_are_exact():
     ids, scores = np.arange(4), np.array([[2**62, 2**62 - 1, 5, 2**62]])
     got = best(np.array([9]), scores, ids, 3)
