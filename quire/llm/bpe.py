@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import short_batches
+from ._shared import sound
 
 CACHE_WORDS = 300_000
 #: Words up to this length are remembered, in characters.
@@ -179,7 +179,6 @@ def encoder(tokenizer_json: str) -> Encoder:
 
 def _mapped(docs: DataFrame, tokenizer_path: str, row, schema: str) -> DataFrame:
     spark = docs.sparkSession
-    short_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
     fields = [f.name for f in spark.createDataFrame([], schema).schema]
@@ -193,7 +192,7 @@ def _mapped(docs: DataFrame, tokenizer_path: str, row, schema: str) -> DataFrame
                 [batch.column(0), *(pa.array([r[k] for r in rows], kinds[n]) for k, n in enumerate(fields[1:]))], names=fields
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), sound("text").alias("text")).mapInArrow(run, schema)
 
 
 def _coded(coder: Encoder, text: str) -> tuple[int, str, str]:

@@ -5,8 +5,12 @@ rank all shingles. Two sets with 100 * intersection >= T * union share at least
 (the first n - ceil(T n / 100) + 1) under every order, and k of prefixes k - 1 longer. The first order, by hash,
 takes the longer prefixes. Of these, the second order, rarest first, needs only the first
 (length - needed + 1): two prefixes that share `needed` shingles share one there. So very common shingles
-give candidates only to texts that consist of them. A candidate must then share prefix shingles under two
-further orders before its sets are compared.
+give candidates only to texts that consist of them. A candidate must then share prefix shingles under two further
+orders as well: each node's prefixes under these are joined to the pairs, and only the pairs that every filter leaves
+have their texts fetched and their sets compared.
+
+Shingles that very many nodes share are counted and joined in parts (spread): a part for each PART_ROWS of a shingle's
+rows, so that no task holds all nodes of one.
 
 Links of large groups are not listed pair by pair: in STARS rounds each shingle's nodes are compared with
 one of them, then only those that its component has not reached. Then each node left joins the family of a hub,
@@ -19,8 +23,9 @@ no family and are still in different components. Every link lies inside a compon
 two is missed.
 
 Defined cases: a null text and one without words have the empty set and no links; with fewer words than a
-shingle the whole sequence is one; repeated rows share a component; rows without doc_id take no part, their
-component_id is null; an empty table gives an empty result; further columns are not read.
+shingle the whole sequence is one; texts of any length are read whole; repeated rows share a component; rows without
+doc_id take no part, their component_id is null; bytes that are no UTF-8 count as U+FFFD; an empty table gives an empty
+result; further columns, whatever their names, are not read by the join and are kept by one_of_each.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import short_batches, written
+from ._shared import packed, short_batches, sound, written
 from .sharding import mixed
 
 WORDS = 4
@@ -42,6 +47,10 @@ PERCENT = 85
 #: Prefixes are longer by so many hundredths of the set than one shared shingle asks.
 LONGER = 10
 STARS = 1
+#: Rows of one shingle that one part holds; shingles of more rows are dealt into parts.
+PART_ROWS = 2000
+#: Those of several parts are sent to all tasks up to this many (some 50 MB); beyond, they are joined by shuffle.
+MOST_SENT_KEYS = 1_000_000
 CACHE_WORDS = 300_000
 #: Sets that a comparing worker remembers.
 CACHE_SETS = 1500
@@ -90,17 +99,17 @@ def node_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64))
 
 
+def further_prefixes(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """A set's prefixes under the third and fourth order: descending hashes, and hashes mixed anew."""
+    length = prefix_length(len(s), 1, percent)
+    return s[len(s) - length :], np.sort(mixed(s ^ OTHER_ORDER))[:length]
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """Prefixes under the second and third order must meet; then the exact comparison."""
+    """The exact comparison."""
     low, high = sorted((len(a), len(b)))
     if 100 * low < percent * high:
         return False
-    pa_, pb = prefix_length(len(a), 1, percent), prefix_length(len(b), 1, percent)
-    if not np.intersect1d(a[-pa_:], b[-pb:], assume_unique=True).size:  # descending hashes
-        return False
-    oa, ob = np.sort(mixed(a ^ OTHER_ORDER))[:pa_], np.sort(mixed(b ^ OTHER_ORDER))[:pb]
-    if not np.intersect1d(oa, ob, assume_unique=True).size:
-        return False
     both = np.intersect1d(a, b, assume_unique=True).size
     return 100 * both >= percent * (len(a) + len(b) - both)
 
@@ -112,22 +121,26 @@ def released(spark: SparkSession) -> None:
 
 
 def sets(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """Written: doc_id, hash (of the text), node, n, prefix (of the first order)."""
+    """Written: doc_id, hash (of the text), node, n, prefix (of the first order), third and fourth (prefixes of those)."""
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t or b"", words) for t in batch.column(1).to_pylist()]
+            more = [further_prefixes(s, percent) for s in found]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0), "hash": batch.column(2), "node": pa.array([node_of(s) if len(s) else None for s in found], pa.int64()),
                 "n": pa.array([len(s) for s in found], pa.int64()),
-                "prefix": pa.array([s[: prefix_length(len(s), int(shared_needed(len(s))), percent)].view(np.int64) for s in found], pa.list_(pa.int64())),
+                "prefix": pa.array([s[: prefix_length(len(s), int(shared_needed(len(s))), percent)].view(np.int64) for s in found], longs),
+                "third": pa.array([m[0].view(np.int64) for m in more], longs), "fourth": pa.array([m[1].view(np.int64) for m in more], longs),
             })
 
-    return written(_texts(docs).mapInArrow(run, "doc_id long, hash long, node long, n long, prefix array<long>"), "sets")
+    with short_batches(docs.sparkSession):
+        return written(_texts(docs).mapInArrow(run, "doc_id long, hash long, node long, n long, prefix array<long>, third array<long>, fourth array<long>"), "sets")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("hash"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), sound("text").cast("binary").alias("text"), F.xxhash64("text").alias("hash"))
 
 
 def _fits(a: str, b: str, percent: int) -> F.Column:
@@ -139,7 +152,11 @@ def _needed(n) -> F.Column:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
-    """Written: the pairs (a, b) of nodes that are linked, compared by their texts."""
+    """Written: the pairs (a, b) of nodes that are linked: those whose prefixes meet under the further orders too are
+    compared by their texts."""
+    sides = [nodes.select(F.col("node").alias(x), F.col("third").alias(f"third_{x}"), F.col("fourth").alias(f"fourth_{x}")) for x in ("a", "b")]
+    meet = F.arrays_overlap("third_a", "third_b") & F.arrays_overlap("fourth_a", "fourth_b")
+    pairs = written(pairs.join(sides[0], "a").join(sides[1], "b").filter(meet).select("a", "b"), "filtered")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = ends.join(nodes.select("node", F.col("low").alias("doc_id")), "node")
     texts = _texts(docs).join(wanted, "doc_id").select("node", "text")
@@ -170,16 +187,17 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int,
                 keep.append(one is not None and other is not None and linked(one, other, percent))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return written(both.mapInArrow(run, "a long, b long"), "links")
+    with short_batches(docs.sparkSession):
+        return written(both.mapInArrow(run, "a long, b long"), "links")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component: the smallest node that links reach, for nodes with links. Labels pass to neighbours,
-    and each label is then replaced by its own label, until none changes."""
+    and each label is then replaced by its own label, until none changes: labels only fall, so that comes."""
     spark = links.sparkSession
     edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")), "labels")
-    for _ in range(most_rounds):
+    while True:
         heard = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("heard"))
         nearer = labels.join(heard, labels["node"] == heard["a"], "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("heard", "component")).alias("component"))
         up = labels.select(F.col("node").alias("up_node"), F.col("component").alias("up"))
@@ -188,33 +206,49 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not new.filter("old <> component").head(1):
             return labels
         released(spark)
-    raise RuntimeError("components did not settle")
+
+
+def spread(rows: DataFrame, keys: list[str], label: str, *more: F.Column) -> tuple[DataFrame, DataFrame]:
+    """Rows with part, and the written keys that several rows have: keys, g (how many), more, parts."""
+    counts = written(rows.groupBy(*keys).agg(F.count("*").alias("g"), *more).filter("g > 1").withColumn("parts", F.ceil(F.col("g") / PART_ROWS).cast("int")), f"{label}-counts")
+    # Keys of several parts are one for each PART_ROWS rows at most; few enough are sent to all tasks.
+    large = counts.filter("parts > 1").select(*keys, "parts")
+    large = F.broadcast(large) if large.count() <= MOST_SENT_KEYS else large
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")
+    return rows.join(large, keys, "left").withColumn("part", part).drop("parts"), counts
+
+
+def in_parts(by_key: DataFrame) -> DataFrame:
+    """A row of each key for each of its parts."""
+    return by_key.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
 
 def indexed(rows: DataFrame, percent: int) -> DataFrame:
-    """Written: token, node, n; the shingles by which candidates meet."""
+    """Written: token, part, parts, node, n; the shingles by which candidates meet."""
     spark = rows.sparkSession
     entries = rows.dropDuplicates(["node"]).select("node", "n", F.size("prefix").alias("length"), F.explode("prefix").alias("token"))
-    shared = written(entries.withColumn("g", F.count("*").over(W.partitionBy("token"))).filter("g > 1"), "shared")
+    parted, counts = spread(entries, ["token"], "shingles")
+    shared = written(parted.join(in_parts(counts), ["token", "part"]), "shared")
     released(spark)
     by_node = W.partitionBy("node")
     rank = F.row_number().over(by_node.orderBy("g", "token"))  # after the node's shingles that no other has
     needed = _needed(F.ceil(F.col("n") * percent / 100))
     ranked = shared.withColumn("place", rank + F.col("length") - F.count("*").over(by_node))
-    return written(ranked.filter(F.col("place") <= F.col("length") - needed + 1).select("token", "node", "n"), "index")
+    return written(ranked.filter(F.col("place") <= F.col("length") - needed + 1).select("token", "part", "parts", "node", "n"), "index")
 
 
 def placed(index: DataFrame, part: DataFrame | None) -> DataFrame:
     """The index with each node's component, and whether it is the one of most of its shingle's nodes (is_top);
     shingles whose nodes are all in one component go."""
     rows = index.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")) if part is not None else index.withColumn("component", F.col("node"))
-    by_token = W.partitionBy("token")
-    tops = (
-        rows.groupBy("token", "component").agg(F.count("*").alias("m"))
-        .withColumn("parts", F.count("*").over(by_token)).withColumn("top", F.max(F.struct("m", "component")).over(by_token))
-        .filter((F.col("parts") > 1) & (F.col("component") == F.col("top.component"))).select("token", F.col("component").alias("top"))
-    )
-    return rows.join(tops, "token").withColumn("is_top", F.col("component") == F.col("top")).drop("top")
+    return _with_top(rows, "component").withColumn("is_top", F.col("component") == F.col("top")).drop("top")
+
+
+def _with_top(rows: DataFrame, group: str) -> DataFrame:
+    """The rows of the shingles with several groups, with top: the group of most of the shingle's nodes."""
+    sizes = rows.groupBy("token", "parts", group).agg(F.count("*").alias("m"))
+    tops = sizes.groupBy("token", "parts").agg(F.count("*").alias("groups"), F.max(F.struct("m", F.col(group).alias("top"))).alias("best")).filter("groups > 1")
+    return rows.join(in_parts(tops.select("token", "parts", "best.top")).drop("parts"), ["token", "part"])
 
 
 def stars(index: DataFrame, part: DataFrame | None, turn: int, percent: int) -> DataFrame:
@@ -222,9 +256,9 @@ def stars(index: DataFrame, part: DataFrame | None, turn: int, percent: int) ->
     those met by most shingles. What this leaves out stays for the last round."""
     rows = placed(index, part)
     pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))).alias("p")
-    pivots = rows.filter("is_top").groupBy("token").agg(pivot).select("token", "p.a", "p.an", "p.ac")
+    pivots = in_parts(rows.filter("is_top").groupBy("token", "parts").agg(pivot)).select("token", "part", "p.a", "p.an", "p.ac")
     met = (
-        rows.join(pivots, "token").filter((F.col("component") != F.col("ac")) & _fits("n", "an", percent))
+        rows.join(pivots, ["token", "part"]).filter((F.col("component") != F.col("ac")) & _fits("n", "an", percent))
         .groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
     )
     first = F.row_number().over(W.partitionBy("b").orderBy(F.desc("c"), "a"))
@@ -233,10 +267,12 @@ def stars(index: DataFrame, part: DataFrame | None, turn: int, percent: int) ->
 
 def hubs(rest: DataFrame) -> DataFrame:
     """Written: node, hub. Each shingle names the node that meets most others; a node takes the hub most of its shingles name."""
-    by_token = W.partitionBy("token")
-    met = rest.select("token", "node", F.count("*").over(by_token).alias("g"))
+    sizes = in_parts(rest.groupBy("token", "parts").agg(F.count("*").alias("g"))).drop("parts")
+    met = rest.select("token", "part", "parts", "node").join(sizes, ["token", "part"])
     degree = F.struct(F.sum("g").over(W.partitionBy("node")).alias("met"), F.col("node").alias("hub"))
-    named = met.withColumn("degree", degree).select("node", F.max("degree").over(by_token).alias("top"))
+    known = written(met.withColumn("degree", degree), "degrees")
+    tops = in_parts(known.groupBy("token", "parts").agg(F.max("degree").alias("top"))).drop("parts")
+    named = known.select("token", "part", "node").join(tops, ["token", "part"])
     votes = named.groupBy("node", "top").agg(F.count("*").alias("c"))
     return written(votes.groupBy("node").agg(F.max(F.struct("c", "top")).alias("best")).select("node", F.col("best.top.hub").alias("hub")), "hubs")
 
@@ -275,7 +311,8 @@ def differences(family: DataFrame, docs: DataFrame, nodes: DataFrame, percent: i
                 [pa.array(out[c], t) for c, t in zip(out, [*[pa.int64()] * 5, pa.bool_(), pa.list_(pa.int64())])], names=list(out)
             )
 
-    return written(both.mapInArrow(run, "node long, hub long, n long, n_hub long, size long, linked boolean, diff array<long>"), "differences")
+    with short_batches(docs.sparkSession):
+        return written(both.mapInArrow(run, "node long, hub long, n long, n_hub long, size long, linked boolean, diff array<long>"), "differences")
 
 
 def centred(diffs: DataFrame, percent: int) -> DataFrame:
@@ -314,11 +351,8 @@ def family_pairs(diffs: DataFrame, part: DataFrame, percent: int) -> DataFrame:
         .filter("low < high AND NOT all_linked").select("hub")
     )
     entries = placed_.join(open_hubs, "hub").select("hub", "node", "n", "n_hub", "size", "linked", "component", F.explode("diff").alias("token"))
-    by_token = W.partitionBy("hub", "token")
-    shared = (
-        entries.withColumn("g", F.count("*").over(by_token)).withColumn("alone", F.min("linked").over(by_token))
-        .filter((F.col("g") > 1) & ~F.col("alone"))
-    )
+    parted, counts = spread(entries, ["hub", "token"], "differences", F.min("linked").alias("alone"))
+    shared = parted.join(in_parts(counts.filter("NOT alone")).drop("parts"), ["hub", "token", "part"]).drop("part")
     by_node = W.partitionBy("hub", "node")
     place, length = F.row_number().over(by_node.orderBy("g", "token")), F.count("*").over(by_node)
     w = more * F.col("size") - less * F.col("n")
@@ -347,13 +381,7 @@ def family_pairs(diffs: DataFrame, part: DataFrame, percent: int) -> DataFrame:
 def across(rest: DataFrame, family: DataFrame) -> DataFrame:
     """Written: the shingles whose nodes are in several families, with each node's hub and the shingle's top family."""
     rows = rest.drop("is_top", "component").join(family, "node", "left").withColumn("hub", F.coalesce("hub", "node"))
-    by_token = W.partitionBy("token")
-    tops = (
-        rows.groupBy("token", "hub").agg(F.count("*").alias("m"))
-        .withColumn("parts", F.count("*").over(by_token)).withColumn("top", F.max(F.struct("m", "hub")).over(by_token))
-        .filter((F.col("parts") > 1) & (F.col("hub") == F.col("top.hub"))).select("token", F.col("hub").alias("top"))
-    )
-    return written(rows.join(tops, "token"), "across")
+    return written(_with_top(rows, "hub"), "across")
 
 
 def guests(rows: DataFrame) -> DataFrame:
@@ -388,10 +416,9 @@ def join_components(docs: DataFrame, percent: int = PERCENT, rounds: int = STARS
 def joined(docs: DataFrame, percent: int = PERCENT, rounds: int = STARS, words: int = WORDS) -> DataFrame:
     """doc_id, hash, n, component_id, first (the component's smallest doc_id and text hash) of every row."""
     spark = docs.sparkSession
-    short_batches(spark)
     rows = sets(docs, percent, words)
     usable = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = written(usable.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "hash")).alias("first")), "nodes")
+    nodes = written(usable.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "hash")).alias("first"), F.first("third").alias("third"), F.first("fourth").alias("fourth")), "nodes")
     index = indexed(usable, percent)
     released(spark)
     tried, links, part = None, spark.createDataFrame([], "a long, b long"), None
@@ -424,7 +451,7 @@ def joined(docs: DataFrame, percent: int = PERCENT, rounds: int = STARS, words:
             part = components(links.union(more))
     ends = nodes.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = ends.groupBy("component").agg(F.min("low").alias("component_id"), F.min("first").alias("first"))
-    ids = ends.drop("first").join(lowest, "component").select("node", "component_id", "first")
+    ids = ends.select("node", "component").join(lowest, "component").select("node", "component_id", "first")
     released(spark)
     return rows.join(ids, "node", "left").select("doc_id", "hash", "n", "component_id", "first")
 
@@ -432,8 +459,10 @@ def joined(docs: DataFrame, percent: int = PERCENT, rounds: int = STARS, words:
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The input's rows less those of a component other than its smallest doc_id and text; rows alike in both become
     one, so texts that only share a doc_id stay. Rows without doc_id or without words stay."""
+    keys = ["id", "hash"]
     others = joined(docs, **options).filter("doc_id IS NOT NULL AND n > 0 AND (doc_id <> first.doc_id OR hash <> first.hash)")
-    found = others.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct()
-    rest = docs.join(found, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
-    first = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-    return rest.withColumn("_first", first).filter((F.col("_first") == 1) | F.col("doc_id").isNull()).drop("_first")
+    gone = others.select(F.col("doc_id").alias("id"), "hash").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), packed(docs).alias("row"))
+    # Texts are shuffled once: rows alike meet, and meet those that go, by the same keys.
+    named = rows.filter("id IS NOT NULL").dropDuplicates(keys).join(gone, keys, "left_anti")
+    return named.select("row").union(rows.filter("id IS NULL").select("row")).select("row.*")

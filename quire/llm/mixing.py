@@ -1,21 +1,24 @@
 """Mixing sources to target weights.
 
 Each source's words, document after document, are one stream, cut into blocks of BLOCK_WORDS. The mix is a
-row of output shards with SHARD_SLOTS block slots each; every shard draws its source counts from a
-multinomial whose odds are the slots that the sources still have to fill, so the totals come out at the
-targets. The k-th slot of a source takes the block that a pseudorandom permutation of the source's block
+row of output shards with SHARD_SLOTS block slots each; shards draw their source counts from multinomials whose odds are
+the slots that the sources still have to fill, so the totals come out at the targets. The draws form a tree: a run of
+shards draws its first half's counts and leaves the second half the rest, with a seed of the run's own, so every task
+finds the counts of its shards by itself. The k-th slot of a source takes the block that a pseudorandom permutation of the source's block
 numbers gives for k; each pass over the source uses a permutation of its own, so no block is used twice
 before all were used once. Slots meet blocks in one join by (source, block), whose keys are even however
 large one source is.
 
 Defined cases: a null source is a source of its own, after all others; a null text has no words; a source
-without words has target 0; repeated rows are separate documents; an empty table gives an empty mix.
+without words has target 0; texts of any length are cut into as many blocks as they fill; repeated rows are separate
+documents; an empty table gives an empty mix; further columns, whatever their names, are not read by the mix and are
+kept by mixed_documents. The driver holds a row for each source.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,13 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ._shared import WORD, bucket_count, short_batches, written
+from ._shared import WORD, bucket_count, packed, sound, written
 from .sharding import mixed
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BLOCK_WORDS = 64
 SHARD_SLOTS = 16384
+#: Shards whose slots one task makes.
+SHARDS_A_TASK = 16
 ROWS_PER_BUCKET = 4096
 SEED = 20240607
 
@@ -101,19 +106,27 @@ def slot_plan(size: int, target: float, key: int, block: int = BLOCK_WORDS, most
     return passes * blocks + at + 1 + slots, rest - at * block - short - (slots - 1) * block
 
 
-def draw_shards(slots: list[int], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first slot of the source, count): multinomial counts of each output shard."""
-    rng, left, done, out = np.random.default_rng(seed), np.array(slots, dtype=np.int64), np.zeros(len(slots), dtype=np.int64), []
-    for shard in range(-(-int(left.sum()) // shard_slots)):
-        open_slots = min(shard_slots, int(left.sum()))
-        counts = np.zeros_like(left)
-        while open_slots:
-            rest = left - counts
-            counts += np.minimum(rng.multinomial(open_slots, rest / rest.sum()), rest)
-            open_slots = min(shard_slots, int(left.sum())) - int(counts.sum())
-        out += [(shard, i, int(done[i]), int(n)) for i, n in enumerate(counts) if n]
-        done, left = done + counts, left - counts
-    return out
+def drawn(left: np.ndarray, slots: int, rng: np.random.Generator) -> np.ndarray:
+    """Multinomial counts of `slots` slots, none above what its source has left."""
+    counts = np.zeros_like(left)
+    while (open_ := slots - int(counts.sum())) > 0:
+        rest = left - counts
+        counts += np.minimum(rng.multinomial(open_, rest / rest.sum()), rest)
+    return counts
+
+
+def shard_counts(shard: int, slots: list[int], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(first slot of each source, count of each source) of an output shard, found from the root of the draws."""
+    first, left = np.zeros(len(slots), dtype=np.int64), np.array(slots, dtype=np.int64)
+    low, high = 0, -(-int(left.sum()) // shard_slots)
+    while high - low > 1:
+        middle = (low + high) // 2
+        half = drawn(left, (middle - low) * shard_slots, np.random.default_rng([seed, low, high]))
+        if shard < middle:
+            left, high = half, middle
+        else:
+            first, left, low = first + half, left - half, middle
+    return first, left
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -168,10 +181,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
         .withColumn("high", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block))
     )
 
-    drawn = spark.createDataFrame(
-        pd.DataFrame(draw_shards([n for n, _ in plans], seed=seed), columns=["shard", "source_no", "first", "n"]).astype("int64"),
-        "shard long, source_no long, first long, n long",
-    )
+    wanted = [n for n, _ in plans]
+    shards = -(-sum(wanted) // SHARD_SLOTS)
+
+    def draw(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shard in batch["id"]:
+                first, count = shard_counts(int(shard), wanted, seed=seed)
+                yield pd.DataFrame({"shard": shard, "source_no": np.arange(len(wanted)), "first": first, "n": count})[count > 0]
+
+    # A task for so many shards, whatever their rows weigh before their slots are listed.
+    tasks = bucket_count(shards, SHARDS_A_TASK)
+    counts = spark.range(0, shards, 1, tasks).mapInPandas(draw, "shard long, source_no long, first long, n long")
     facts = spark.createDataFrame(
         [(i, -(-r["size"] // block), n, last, k) for i, (r, (n, last), k) in enumerate(zip(found, plans, keys))],
         "source_no int, blocks long, slots long, last_words long, key long",
@@ -183,8 +204,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
         return pd.Series(permuted(place % count, count, key + place // count))
 
     slots = (
-        drawn.join(facts, "source_no")
-        .repartition("shard", "source_no")
+        counts.join(F.broadcast(facts), "source_no")  # a row for each source
         .withColumn("place", F.explode(F.expr("sequence(first, first + n - 1)")))
         .withColumn("takes", F.when(F.col("place") == F.col("slots") - 1, F.col("last_words")).otherwise(F.lit(block)))
         .withColumn("block", block_of("place", "blocks", "key"))
@@ -210,14 +230,15 @@ def taken(sized: DataFrame, pieces: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The input's columns with text (and n_chars, if there) as the mix takes it: a document's pieces in mix
     order, a line each; documents of which nothing is taken go. Rows alike in id and text become one row."""
-    short_batches(docs.sparkSession)
+    keys = ["id", "no_id", "hash"]
     sized, pieces = mix(docs, **options)
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id")]
     cuts = (
-        pieces.join(sized.select("uid", "doc_id", "text_hash"), "uid")
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-        .agg(F.sort_array(F.collect_list(F.struct("shard", "place", "uid", "first", "words"))).alias("_cuts"))
+        pieces.join(sized.select("uid", *own, F.col("text_hash").alias("hash")), "uid")
+        .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("shard", "place", "uid", "first", "words"))).alias("cuts"))
     )
-    once = docs.withColumn("_hash_own", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash_own"])
+    # Texts are shuffled once: rows alike meet, and meet their cuts, by the same keys.
+    once = docs.select(*own, F.xxhash64("text").alias("hash"), packed(docs).alias("row")).dropDuplicates(keys)
 
     @F.pandas_udf(T.StringType())
     def cut(text: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -227,6 +248,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             out.append("\n".join(t[at[p["first"]][0] : at[p["first"] + p["words"] - 1][1]] for p in pieces_))
         return pd.Series(out)
 
-    joined = once.join(cuts, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash_own") == F.col("_hash")))
-    out = joined.withColumn("text", cut("text", "_cuts")).drop("_cuts", "_id", "_hash", "_hash_own")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    rows = once.join(cuts, keys).withColumn("new", cut(sound(F.col("row.text")), "cuts"))
+    kept = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("new")}
+    if "n_chars" in kept:
+        kept["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(c.alias(n) for n, c in kept.items()))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WORD, text_of, written
+from ._shared import WORD, packed, text_of, written
 
 #: Buckets of the words, and again of the pairs.
 BUCKETS = 1 << 16
@@ -176,4 +176,4 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
 
 def kept_documents(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
     """The input's rows that are kept."""
-    return judged(docs, trusted, F.struct(*(F.col(f"`{c}`") for c in docs.columns)), **options).filter("kept").select("carried.*")
+    return judged(docs, trusted, packed(docs), **options).filter("kept").select("carried.*")

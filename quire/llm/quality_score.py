@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import short_batches, written
+from ._shared import short_batches, sound, written
 
 FEATURES = 256
 RIDGE = 1.0
@@ -78,14 +78,14 @@ def fourier(stats: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarr
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """Written: doc_id, stats."""
-    short_batches(docs.sparkSession)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "stats": [statistics(t or "") for t in batch["text"]]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(rows.mapInPandas(run, "doc_id long, stats array<double>"), "statistics")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sound("text").alias("text"))
+    with short_batches(docs.sparkSession):
+        return written(rows.mapInPandas(run, "doc_id long, stats array<double>"), "statistics")
 
 
 def _sums(labelled: DataFrame, mean: np.ndarray, spread: np.ndarray) -> dict[int, np.ndarray]:

@@ -10,7 +10,10 @@ starts (documents + 1); then per level int64 chunks, uint8 chunks, uint8 bitmap
 to whole 64-byte blocks), int64 rank directory (blocks + 1).
 
 Defined cases: a null text is an empty one (only the end id is written); a null doc_id sorts first and is
-kept as null; repeated rows are written repeatedly, side by side; an empty table writes no file.
+kept as null; repeated rows are written repeatedly, side by side, in as many tasks as they fill; texts of any length are
+read whole, and one longer than a file makes a longer file; bytes that are no UTF-8 count as U+FFFD; an empty table
+writes no file; further columns are not read. A tokenizer that does not fold case, split at white space and mark the
+ends of words is encoded text by text.
 """
 
 from __future__ import annotations
@@ -24,14 +27,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ._shared import scratch, short_batches
+from ._shared import bucket_count, scratch, short_batches, sound, written
 
 END_ID = 2
 #: A file is closed after so many ids (about 8 MB); a longer document makes one longer file.
 FILE_IDS = 4_000_000
+#: Files that one task reads back.
+FILES_A_TASK = 4
 #: Distinct words whose ids a worker remembers.
 CACHE_WORDS = 400_000
 BLOCK_BITS = 512
@@ -123,6 +129,32 @@ class DacFile:
 CLOSED = re.compile(rb"(?<=[a-z])[.,;:!?*%$#&|]+(?=[\x20\x09-\x0D]|\Z)")
 
 
+#: Samples on which a tokenizer of the word-by-word kind gives the ids of its words in a row.
+SAMPLES = ["Hello, World! it's  a\tTest.\nnew line; café 42 times (x-y)", "UPPER lower MiXed\x0b...what?! no. yes: a;b", "  lead and trail  ", "don't I'll we've 3.14 #tag $5 50% a&b", "naïve ÉCOLE ß İ 東京 x\u3000y"]
+
+
+def splits_words(tokenizer_json: str) -> bool:
+    """Whether a tokenizer's ids are those of its words in a row: it marks word ends, folds case, drops white space,
+    and its added tokens take nothing but themselves. Read off its file, then tried on SAMPLES."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    parts = json.loads(tokenizer_json)
+    steps = json.dumps([parts.get("normalizer"), parts.get("pre_tokenizer")])
+    if (parts.get("model") or {}).get("end_of_word_suffix") != "</w>" or "Lowercase" not in steps:
+        return False
+    added = parts.get("added_tokens") or []
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or not t["content"].startswith("<|") for t in added):
+        return False
+    tokenizer = Tokenizer.from_str(tokenizer_json)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    words = lambda t: CLOSED.sub(rb" \g<0>", t.encode().lower()).split()
+    return all(ids(t) == [i for w in words(t) for i in ids(w.decode())] for t in SAMPLES)
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library, word by word.
 
@@ -131,6 +163,8 @@ class WordEncoder:
     text's ids are those of its folded words and closings in a row. Each distinct one is encoded once and kept,
     in a dictionary of bounded size. Words of letters only are one piece each, and many go to the library in
     one call: a piece's last id is one that ends a word.
+
+    All this is read off the tokenizer's file (`by_words`); a tokenizer of another make encodes whole texts.
     """
 
     def __init__(self, tokenizer_json: str, most: int = CACHE_WORDS):
@@ -140,6 +174,7 @@ class WordEncoder:
         self.tokenizer, self.known, self.most = Tokenizer.from_str(tokenizer_json), {}, most
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.by_words = splits_words(tokenizer_json)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -170,6 +205,8 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text in UTF-8."""
+        if not self.by_words:
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         split = [self._split(t) for t in texts]
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > self.most:
@@ -208,7 +245,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     Returns a row for each file, in order: name, documents, ids, start (ids of all files before).
     """
     spark = docs.sparkSession
-    short_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
 
@@ -239,34 +275,44 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             yield flush()
 
     ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-        .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), sound("text").cast("binary").alias("text"), F.xxhash64("text").alias("hash"))
+        .repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash").drop("hash")
     )
-    rows, start, at = ordered.mapInArrow(write, "name string, documents long, ids long").collect(), [], 0
-    for r in sorted(rows, key=lambda r: r["name"]):  # a row for each file, of FILE_IDS ids each
-        start.append((r["name"], r["documents"], r["ids"], at))
-        at += r["ids"]
-    return spark.createDataFrame(start, "name string, documents long, ids long, start long")
+    with short_batches(spark):
+        files = written(ordered.mapInArrow(write, "name string, documents long, ids long"), "token-index")
+    # A running sum over the files, in two steps: inside hundreds of them, and over the hundreds.
+    before = W.orderBy("hundred").rowsBetween(W.unboundedPreceding, -1)
+    grouped = files.withColumn("hundred", F.substring("name", 1, len("tokens-000000")))
+    wholes = grouped.groupBy("hundred").agg(F.sum("ids").alias("sum")).select("hundred", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
+    inside = W.partitionBy("hundred").orderBy("name").rowsBetween(W.unboundedPreceding, -1)
+    start = F.col("offset") + F.coalesce(F.sum("ids").over(inside), F.lit(0))
+    return written(grouped.join(F.broadcast(wholes), "hundred").select("name", "documents", "ids", start.alias("start")), "token-starts")
+
+
+def get(folder: str, name: str) -> bytes:
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder)
+    with store.open_input_stream(f"{path}/{name}") as f:
+        return f.read()
 
 
-def read_token_files(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files' bytes."""
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(f"{folder}/*.dac")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
-    joined = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(F.broadcast(index.select("name", "start")) if index.count() < 10_000 else index.select("name", "start"), "name")
+def read_token_files(folder: str, index: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files' bytes: a task reads the files of its index rows."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                f = DacFile(batch.column(1)[k].as_py())
-                first = batch.column(2)[k].as_py()
+            for name, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                f = DacFile(get(folder, name))
                 sums = [zlib.crc32(f.document(i).astype("<u4").tobytes()) for i in range(f.documents)]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(f.doc_ids, pa.int64()), "start": pa.array(f.starts[:-1] + first, pa.int64()),
                     "n_tokens": pa.array(np.diff(f.starts), pa.int64()), "ids_crc32": pa.array(sums, pa.int64()),
                 })
 
-    return joined.select("name", "content", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # Names only are moved: a task for each FILES_A_TASK files.
+    dealt = index.select("name", "start").repartition(bucket_count(index.count(), FILES_A_TASK), "name")
+    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, **options) -> DataFrame:
@@ -276,4 +322,4 @@ def token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
     index = write_token_files(docs, folder, tokenizer_path, **options)
     if not index.head(1):
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read_token_files(spark, folder, index)
+    return read_token_files(folder, index)

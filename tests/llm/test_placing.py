@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from quire.llm.mixing import draw_shards, mix, mixed_documents, permuted, place_of, slot_plan, taken, targets
+from quire.llm.mixing import mix, mixed_documents, permuted, place_of, shard_counts, slot_plan, taken, targets
 from quire.llm.sharding import jump_hash, mixed, shard_documents
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,13 +74,15 @@ def test_permutation_and_slots_hit_the_target():
 
 
 def test_shard_draws_add_up():
-    drawn = draw_shards([100, 0, 50_000, 3])
-    sums, at = Counter(), defaultdict(int)
-    for _, i, first, n in drawn:
-        assert first == at[i]
-        at[i] += n
-        sums[i] += n
-    assert sums == {0: 100, 2: 50_000, 3: 3}
+    wanted = [100, 0, 50_000, 3, 40_000]
+    sums, at = Counter(), [0] * 5
+    for shard in range(6):
+        first, count = shard_counts(shard, wanted)
+        assert first.tolist() == at and count.sum() == min(16384, sum(wanted) - shard * 16384)
+        at = (first + count).tolist()
+        again = shard_counts(shard, wanted)
+        assert again[1].tolist() == count.tolist()
+    assert at == wanted and shard_counts(0, [7])[1].tolist() == [7]
 
 
 def check_mix(docs):

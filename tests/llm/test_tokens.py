@@ -90,3 +90,44 @@ def test_encode_and_decode(odd, none, small):
     check_coded(small)
     assert encode_and_decode(none, BYTE).collect() == []
     assert {r["doc_id"] for r in encode_documents(odd, BYTE).collect()} == {r["doc_id"] for r in odd.collect()}
+
+
+def test_settings_of_the_session_stay(spark, odd):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, 777)
+    try:
+        token_files(odd, WORD).collect()
+        encode_and_decode(odd, BYTE).collect()
+        assert spark.conf.get(name) == "777"
+    finally:
+        spark.conf.unset(name)
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    bad = pa.array([b"good \xff\xfe text", b"plain text"]).cast(pa.binary())
+    pq.write_table(pa.table({"doc_id": [1, 2], "text": bad}), tmp_path / "docs.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/docs.parquet").selectExpr("doc_id", "CAST(text AS string) AS text")
+    want = Tokenizer.from_file(WORD).encode("good \ufffd\ufffd text", add_special_tokens=False).ids + [2]
+    rows = {r["doc_id"]: r for r in token_files(docs, WORD).collect()}
+    assert rows[1]["n_tokens"] == len(want) and rows[1]["ids_crc32"] == zlib.crc32(raw(want))
+    assert encode_and_decode(docs, BYTE).count() == 2
+
+
+def test_tokenizers_of_another_make(spark, odd):
+    from quire.llm.token_files import WordEncoder, splits_words
+
+    words, other = open(WORD, encoding="utf-8").read(), open(BYTE, encoding="utf-8").read()
+    assert splits_words(words) and not splits_words(other)
+    texts = [r["text"] or "" for r in odd.collect()]
+    t = Tokenizer.from_str(other)
+    assert WordEncoder(other).encode([x.encode() for x in texts]) == [raw(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+def test_repeated_ids_are_in_several_tasks(spark):
+    docs = spark.createDataFrame([(5, f"text {i}") for i in range(400)] + [(None, f"more {i}") for i in range(100)] + [(9, "last")], "doc_id long, text string")
+    rows = sorted(((r["start"], r["doc_id"], r["n_tokens"]) for r in token_files(docs, WORD, file_ids=50).collect()), key=lambda r: r[0])
+    assert [r[0] for r in rows] == [sum(r[2] for r in rows[:i]) for i in range(len(rows))]
+    assert [r[1] for r in rows] == [None] * 100 + [5] * 400 + [9]
