@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import bpe, jaccard_join, mixing, quality_rules, secrets
-from quire.llm._shared import table, written
+from quire.llm._shared import dropped, made, table, written
 from quire.llm.queries import tokenizer
 
 #: Near-duplicates of the stage: 5-word shingles, Jaccard 0.8 or more (op6's query takes 4 words and 0.85).
@@ -54,7 +54,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped(spark, mark, but=docs)  # what the stage wrote on its way, and its predecessor's rows
     return docs
