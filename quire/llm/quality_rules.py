@@ -10,8 +10,8 @@ The threshold lies SPREADS standard deviations (MIN_SPREAD at least) below the m
 pass the base rules; a text is kept where the base rules pass and its score reaches it. The rule holds no number that
 depends on the tables' size. Ratios are whole multiples of 1 / SCALE, so sums do not depend on the order of rows. Only
 DataFrame functions run; texts are cut and hashed once to count and once to score, inside the row: no n-gram is
-shuffled but as a count of its bucket. The ratios are one constant of `buckets` whole numbers a kind of n-gram,
-MOST_BUCKETS at most, whatever the corpus's size.
+shuffled but as a count of its bucket. The ratios are two rows, for other texts and for trusted ones, each an array of
+`buckets` whole numbers a kind of n-gram, MOST_BUCKETS at most, whatever the corpus's size; they are sent to all tasks.
 
 Defined cases: a null text has no words, fails the base rules and has score 0; texts of any length are read whole;
 repeated rows are separate documents and are counted as often; trusted ids that are null or match no document count
@@ -33,9 +33,6 @@ PSEUDO = 3.0
 SPREADS = 4.0
 MIN_SPREAD = 0.03
 SCALE = 2048
-#: A packed ratio is two numbers below 2 ** 15, for other texts and for trusted ones, each raised by ZERO.
-HALF = 1 << 15
-ZERO = 1 << 14
 MIN_WORDS = 20
 MAX_REPEAT_SHARE = 30
 WINDOW = 8
@@ -115,8 +112,9 @@ def with_trusted(rows: DataFrame, trusted: DataFrame) -> DataFrame:
     return rows.join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("known", F.lit(False))).drop("known")
 
 
-def ratios(rows: DataFrame, buckets: int, pseudo: float = PSEUDO) -> Column | None:
-    """The packed ratios by bucket, as one constant; None where no text is trusted. rows: text, trusted."""
+def ratios(rows: DataFrame, buckets: int, pseudo: float = PSEUDO) -> DataFrame | None:
+    """Written: trusted, ratios: two rows, for other texts and for trusted ones, a number for each bucket; None where no
+    text is trusted. rows: text, trusted."""
     # One key for bucket and side, so that a count is all that a task keeps of it.
     grams = hashed(rows.select("text", "trusted")).select(F.explode(buckets_of(buckets)).alias("bucket"), "trusted")
     keyed = grams.select((F.col("bucket") * 2 + F.col("trusted").cast("long")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
@@ -129,15 +127,13 @@ def ratios(rows: DataFrame, buckets: int, pseudo: float = PSEUDO) -> Column | No
     others = F.greatest(F.col("n") - 1, F.lit(0))
 
     def ratio(own: Column) -> Column:
-        scaled = F.round(SCALE * F.log((own + pseudo * share) / (share * (others + pseudo)))).cast("int")
-        return F.least(F.greatest(scaled + ZERO, F.lit(0)), F.lit(HALF - 1))
+        return F.round(SCALE * F.log((own + pseudo * share) / (share * (others + pseudo)))).cast("int")
 
-    packed = ratio(F.least(F.col("own"), others)) * HALF + ratio(F.greatest(F.col("own") - 1, F.lit(0)))
-    empty = ZERO * HALF + ZERO
-    table = [empty] * (2 * buckets)
-    for r in counts.select("bucket", packed.alias("packed")).toLocalIterator():  # 2 * buckets rows at most
-        table[r["bucket"]] = r["packed"]
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")  # folded to a constant
+    found = counts.select("bucket", ratio(F.least(F.col("own"), others)).alias("other"), ratio(F.greatest(F.col("own") - 1, F.lit(0))).alias("own"))
+    tables = {False: [0] * (2 * buckets), True: [0] * (2 * buckets)}
+    for r in found.toLocalIterator():  # 2 * buckets rows at most
+        tables[False][r["bucket"]], tables[True][r["bucket"]] = r["other"], r["own"]
+    return written(rows.sparkSession.createDataFrame(list(tables.items()), "trusted boolean, ratios array<int>").coalesce(1), "ratios")
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -153,15 +149,10 @@ def judged(docs: DataFrame, trusted: DataFrame, carried: Column, buckets: int =
     if table is None:
         scored = based.withColumn("score", F.lit(0.0))
     else:
-        own = F.col("trusted")
-
-        def add(total: Column, bucket: Column) -> Column:
-            packed = F.get(table, bucket.cast("int"))
-            return total + F.when(own, packed.bitwiseAND(HALF - 1)).otherwise(F.shiftright(packed, 15))
-
-        based = based.withColumn("buckets", buckets_of(buckets)).withColumn("n", F.size("buckets"))
-        total = F.aggregate("buckets", F.lit(0).cast("long"), add)
-        scored = based.withColumn("score", F.when(F.col("n") > 0, (total - ZERO * F.col("n")) / (SCALE * F.col("n"))).otherwise(F.lit(0.0)))
+        # Two rows are sent; the join comes last, so that no further step carries a row's ratios.
+        placed = based.select("carried", *BASE, "trusted", buckets_of(buckets).alias("places")).join(F.broadcast(table), "trusted")
+        total = F.aggregate("places", F.lit(0).cast("long"), lambda s, b: s + F.get(F.col("ratios"), b.cast("int")))
+        scored = placed.withColumn("score", F.when(F.size("places") > 0, total / (SCALE * F.size("places"))).otherwise(F.lit(0.0)))
     scored = written(scored.select("carried", *BASE, "trusted", "score"), "scores")
     known = scored.filter("trusted AND NOT base_failed").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("spread")).first()
     threshold = None if known["mean"] is None or table is None else round(known["mean"] - spreads * max(known["spread"], min_spread), 4)
