@@ -40,8 +40,9 @@ MIN_TERM = 4
 WORD = rf"\p{{L}}{{{MIN_TERM},}}"
 MIN_TEXTS = 3
 LEFT_BITS = 1.0
-#: Terms that may disclose are sent to all tasks up to this many (some 100 MB); beyond, they are joined by shuffle.
-MOST_SENT_TERMS = 1_000_000
+#: Texts with copies, and disclosing terms, are sent to all tasks up to this many (some 100 MB each); beyond, they are
+#: joined by shuffle.
+MOST_SENT = 1_000_000
 
 
 def _digits(match: Column) -> Column:
@@ -91,8 +92,8 @@ def _near(text: Column, s: Column) -> Column:
 
 
 def disclosing(based: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """(term, number) of the terms that disclose, and (hash, term) of the texts that hold a term that might; of rows
-    with text, hash and base. None where no term might."""
+    """(term, number) of the terms that disclose, and (hash, term) of the texts that hold one; of rows with text, hash
+    and base. None where no term might."""
     text = F.col("text")
     window = lambda s: F.struct(
         s["kind"].alias("kind"), F.call_function("substring", text, s["start"] + 1, s["end"] - s["start"]).alias("value"), _near(text, s).alias("near")
@@ -105,15 +106,19 @@ def disclosing(based: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     pairs = written(near.groupBy("entity", "kind", "n_entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= MIN_TEXTS), "pairs")
     if not pairs.head(1):
         return None
-    candidates = written(pairs.select("term").distinct(), "candidates")
-    few = F.broadcast(candidates) if candidates.count() <= MOST_SENT_TERMS else candidates
-    # The texts that hold a candidate, each once; only these rows are shuffled.
-    holds = written(based.select("hash", F.explode(_terms(text)).alias("term")).join(few, "term", "left_semi").distinct(), "holds")
-    texts = based.select("hash").distinct().count()
-    spread = holds.groupBy("term").agg(F.count("*").alias("n_term"))
+    # Every term of every text is counted, in each task first; a text with copies counts as its share of them.
+    hashes = written(based.groupBy("hash").agg(F.count("*").alias("copies")), "hashes")
+    texts, copied = hashes.count(), hashes.filter("copies > 1")
+    copied = F.broadcast(copied) if copied.count() <= MOST_SENT else copied
+    weighed = based.select("hash", "text").join(copied, "hash", "left").select(F.explode(_terms(text)).alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
+    spread = weighed.groupBy("term").agg(F.round(F.sum("weight")).alias("n_term"))
     told = pairs.join(spread, "term").withColumn("ic", -F.log2(F.col("n_entity") / F.lit(float(texts))))
     told = told.withColumn("pmi", F.log2(F.col("n_both") * F.lit(float(texts)) / (F.col("n_entity") * F.col("n_term"))))
     found = written(told.filter(F.round(F.col("ic") - F.col("pmi"), 9) <= LEFT_BITS).select("term", "kind", "entity"), "disclosing")
+    # The texts that hold a disclosing term, each once; only these rows are shuffled.
+    terms = found.select("term").distinct()
+    few = F.broadcast(terms) if terms.count() <= MOST_SENT else terms
+    holds = written(based.select("hash", F.explode(_terms(text)).alias("term")).join(few, "term", "left_semi").distinct(), "holds")
     # Is a kind's class of terms still vague? Texts with any of them, against those of them that hold the entity.
     own = found.groupBy("term").agg(F.min("kind").alias("kind"), F.max("kind").alias("last")).withColumn("several", F.col("kind") != F.col("last")).drop("last")
     class_texts = holds.join(own.filter("NOT several"), "term").select("kind", "hash").distinct()
