@@ -37,7 +37,7 @@ def contributor(name: Column) -> Column:
     marks = F.regexp_extract(t, f"({MARKERS})", 1)
     return F.struct(
         F.when(marks != "", F.rtrim(F.regexp_replace(t, MARKERS, ""))).otherwise(t).alias("name"), F.when(marks != "", t).otherwise("").alias("original_name"),
-        F.when(marks != "", F.split(marks, "(?!^)")).otherwise(F.array().cast("array<string>")).alias("markers"), F.when(marks != "", "normalized").otherwise("unchanged").alias("status"),
+        F.regexp_extract_all(marks, F.lit("."), F.lit(0)).alias("markers"), F.when(marks != "", "normalized").otherwise("unchanged").alias("status"),
     )
 
 
@@ -131,7 +131,7 @@ def formula_form(content: Column, latex: Column, label: Column) -> Column:
     copy = (tex != "") & F.endswith(squeeze(bare), tex) & (F.length(squeeze(bare)) > F.length(tex))
     # The text before the copy: as many characters that are not blank as come before it.
     before = F.length(squeeze(bare)) - F.length(tex)
-    kept = F.regexp_extract(bare, F.concat(F.lit(r"^((?:\s*\S){"), before.cast("string"), F.lit("})")), F.lit(1))
+    kept = F.call_function("regexp_extract", bare, F.concat(F.lit(r"^((?:\s*\S){"), F.greatest(before, F.lit(0)).cast("string"), F.lit("})")), F.lit(1))
     clean = F.when(copy, F.trim(kept)).otherwise(bare)
     letters = lambda x: F.lower(F.regexp_replace(x, r"[\s\\{}$]", ""))
     conflict = (clean != "") & (tex != "") & ~copy & (_likeness(letters(clean), letters(tex)) < 0.25)

@@ -19,21 +19,6 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "[ \t\r\n]+"), lambda w: w != ""))
 
 
-def collapsed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "[ \t\r\n]+", " "))
-
-
-def looks_like_heading(text: Column) -> Column:
-    """1 to 12 words, up to 100 characters, few digits, no closing punctuation."""
-    t = collapsed(text)
-    digits = F.length(t) - F.length(F.regexp_replace(t, "[0-9]", ""))
-    return (F.length(t) > 0) & (F.length(t) <= 100) & (word_count(t) <= 12) & (digits * 100 < 8 * F.length(t)) & ~t.rlike("[.!?;:,]$")
-
-
-def split_values(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "[；;，,、:：]+"), lambda v: F.trim(v)), lambda v: v != "")
-
-
 def caption_label(text: Column) -> Column:
     return F.regexp_extract(text, r"^\s*((?:Figure|Fig\.?|Table)\s*[0-9]+)", 1)
 
@@ -44,35 +29,3 @@ def caption_body(text: Column) -> Column:
 
 def caption_number(text: Column) -> Column:
     return F.regexp_extract(text, "([0-9]+)", 1)
-
-
-def expanded_numbers(text: Column, most: int = 1000) -> Column:
-    """Numbers of `1-3, 5` in order, distinct; ranges of either direction, up to `most` long; others are left out."""
-    parts = F.filter(F.transform(F.split(text, "[,，、]"), lambda p: F.trim(p)), lambda p: p.rlike("^[0-9]{1,9}( *[-–] *[0-9]{1,9})?$"))
-
-    def numbers(p: Column) -> Column:
-        low, high = F.regexp_extract(p, "^([0-9]+)", 1).cast("int"), F.regexp_extract(p, "([0-9]+)$", 1).cast("int")
-        return F.when(F.abs(high - low) < most, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-
-    return F.array_distinct(F.flatten(F.transform(parts, numbers)))
-
-
-def reference_fields(raw: Column) -> dict[str, Column]:
-    """Fields of a numbered citation `[n] Authors. Title. Source year;volume(issue):first-last. doi`; empty if absent."""
-    body = F.regexp_replace(raw, r"^\s*\[[0-9]+\]\s*", "")
-    tail = r"([12][0-9]{3});([0-9]+)\(([0-9]+)\):([0-9]+)-([0-9]+)"
-    return {
-        "label": F.regexp_extract(raw, r"^\s*\[([0-9]+)\]", 1),
-        "authors": F.regexp_extract(body, r"^([^.]+)\.", 1),
-        "article_title": F.regexp_extract(body, r"^[^.]+\. ([^.]+)\.", 1),
-        "source": F.trim(F.regexp_extract(body, r"^[^.]+\. [^.]+\. ([^.;]+) [12][0-9]{3};", 1)),
-        "year": F.regexp_extract(body, tail, 1), "volume": F.regexp_extract(body, tail, 2), "issue": F.regexp_extract(body, tail, 3),
-        "fpage": F.regexp_extract(body, tail, 4), "lpage": F.regexp_extract(body, tail, 5),
-        "doi": F.regexp_extract(raw, r"(10\.[0-9]{4,9}/[^\s]+)", 1),
-    }
-
-
-def populated_hundredths(fields: list[Column], whole: int = 7) -> Column:
-    """100 * min(1, non-empty fields / 7), as an integer."""
-    n = sum((F.when(F.length(f) > 0, 1).otherwise(0) for f in fields), F.lit(0))
-    return F.least(F.lit(100), F.floor(100 * n / whole)).cast("long")

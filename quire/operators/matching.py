@@ -26,8 +26,8 @@ def resolved_targets(xrefs: DataFrame, targets: DataFrame, on: list[str], rid: s
 
 
 def reverse_references(xrefs: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Each target's referrers, in order."""
-    return xrefs.groupBy(*key).agg(F.count("*").alias("n_refs"), F.array_join(F.sort_array(F.collect_set(F.col(order))).cast("array<string>"), ",").alias("referrers"))
+    """Each target's referrers, in order, as often as they refer."""
+    return xrefs.groupBy(*key).agg(F.count("*").alias("n_refs"), F.array_join(F.sort_array(F.collect_list(F.col(order))).cast("array<string>"), ",").alias("referrers"))
 
 
 def token_overlap(left: DataFrame, right: DataFrame, key: str, tokens: str) -> DataFrame:

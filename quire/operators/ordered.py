@@ -75,7 +75,9 @@ def bound_once(candidates: DataFrame, doc: str, caption: str, target: str, score
 def retained(jobs: DataFrame, group: str, job: str, age: str, size: str, most_jobs: int, most_bytes: int) -> DataFrame:
     """Greedy retention, newest first: a job that does not fit goes, a later smaller one may stay."""
     item = F.struct(F.col(age).alias("age"), F.col(job).alias("job"), F.col(size).alias("size"))
-    ordered = jobs.groupBy(group).agg(F.slice(F.sort_array(F.collect_list(item), asc=False), 1, most_jobs).alias("items"))
+    # Ranked first, which tasks do before the shuffle: a group gathers no more than the jobs that may stay.
+    newest = jobs.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(F.desc(age), F.desc(job)))).filter(F.col("_r") <= most_jobs)
+    ordered = newest.groupBy(group).agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
 
     def step(seen: Column, x: Column) -> Column:
         fits = seen["used"] + x["size"] <= most_bytes

@@ -170,7 +170,8 @@ def validation_issues(found: Column) -> Column:
 
 
 def evidence_summary(*collections: str) -> Column:
-    """How many of each status, an unknown one for review, and the mean confidence to 2 places, null without any."""
+    """How many of each status, an unknown one for review, and the mean confidence to 2 places,
+    half-even by its decimal digits, null without any."""
     items = F.flatten(F.array(*(F.coalesce(F.transform(c, lambda x: F.struct(x["status"].alias("status"), x["confidence"].alias("confidence"))), F.array().cast("array<struct<status:string,confidence:double>>")) for c in collections)))
     status = lambda x: F.coalesce(x["status"], F.lit("ok"))
     known = F.filter(items, lambda x: x["confidence"].isNotNull())
@@ -178,19 +179,10 @@ def evidence_summary(*collections: str) -> Column:
     return F.struct(
         F.size(items).alias("total"), *(_times(F.transform(items, status), k).alias(k) for k in ("ok", "warning", "error")),
         _count(items, lambda x: ~status(x).isin("ok", "warning", "error")).alias("need_review"),
-        F.when(F.size(known) > 0, half_even_2(mean)).alias("average_confidence"),
+        F.when(F.size(known) > 0, F.bround(mean, 2)).alias("average_confidence"),
     )
 
 
-def half_even_2(x: Column) -> Column:
-    """To 2 places as the studied system rounds: by the binary value, so a tie that is none goes its own way."""
-    low = F.floor(x * 100) / 100
-    exact = x.cast("decimal(38,30)") - low.cast("decimal(38,2)")
-    middle = F.lit("0.005").cast("decimal(38,30)")
-    even = F.floor(x * 100) % 2 == 0
-    return F.round(F.when((exact > middle) | ((exact == middle) & ~even), low + 0.01).otherwise(low), 2)
-
-
 def formula_summary() -> Column:
     """Counts by status, MathML, and the sorted distinct features that are not supported."""
     f, status = F.col("formulas"), lambda x: F.coalesce(x["conversion_status"], F.lit("success"))

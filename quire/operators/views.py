@@ -72,8 +72,8 @@ def shown_rows(rows: Column, most: int = 10) -> Column:
 
 def fragment(xml: Column, ident: Column, tag: Column) -> Column:
     """The start tag with an id, else the first with the tag's name; empty without either."""
-    by_id = F.regexp_extract(xml, F.concat(F.lit(r"(<[^<>/][^<>]*\bid=[\"']"), ident, F.lit(r"[\"'][^<>]*>)")), F.lit(1))
-    by_tag = F.regexp_extract(xml, F.concat(F.lit("(<"), tag, F.lit(r"(?:\s[^<>]*)?>)")), F.lit(1))
+    by_id = F.call_function("regexp_extract", xml, F.concat(F.lit(r"(<[^<>/][^<>]*\bid=[\"']"), ident, F.lit(r"[\"'][^<>]*>)")), F.lit(1))
+    by_tag = F.call_function("regexp_extract", xml, F.concat(F.lit("(<"), tag, F.lit(r"(?:\s[^<>]*)?>)")), F.lit(1))
     return F.when((ident != "") & (by_id != ""), by_id).otherwise(by_tag)
 
 
