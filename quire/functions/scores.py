@@ -9,14 +9,6 @@ from pyspark.sql import functions as F
 WEIGHTS = {"metadata": 20, "structure": 15, "schema": 20, "figures_tables": 10, "formulas": 10, "references": 15, "xrefs": 10}
 
 
-def binding(same_section: Column, has_caption: Column, number_match: Column, distance: Column) -> Column:
-    """30 same section, 20 caption, 35 equal number, 15 or 8 for nearness."""
-    return (
-        F.when(same_section, 30).otherwise(0) + F.when(has_caption, 20).otherwise(0) + F.when(number_match, 35).otherwise(0)
-        + F.when(distance <= 1, 15).when(distance <= 3, 8).otherwise(0)
-    )
-
-
 def evidence(same_section: Column, has_caption: Column, number_match: Column, distance: Column) -> Column:
     """30 same section, 20 caption, 35 equal number, 15 or 5 for nearness; 0 in another section."""
     near = F.when(distance <= 1, 15).when(distance <= 3, 5).otherwise(0)
@@ -27,6 +19,26 @@ def evidence_status(same_section: Column, score: Column) -> Column:
     return F.when(same_section, status(score)).otherwise("error")
 
 
+def formula(math_paragraph: Column, pure: Column, aligned_and_numbered: Column) -> tuple[Column, Column]:
+    """60 for a math paragraph, 55 for mathematics alone, 25 set apart with a number, 100 at most; and whether it stands alone."""
+    points = F.when(math_paragraph, 60).otherwise(0) + F.when(pure, 55).otherwise(0) + F.when(aligned_and_numbered, 25).otherwise(0)
+    return F.least(F.lit(100), points), math_paragraph | pure | aligned_and_numbered
+
+
+#: A result for review, in hundredths.
+REVIEW = 60
+
+
+def most_of(conversion: Column) -> Column:
+    """The most confidence that a conversion leaves."""
+    return F.when(conversion == "partial", 70).when(conversion == "failed", 40).otherwise(100)
+
+
+def capped_status(score: Column, conversion: Column) -> Column:
+    """Partial is for review, failed a warning, whatever the evidence."""
+    return F.when(conversion == "partial", "need_review").when(conversion == "failed", "warning").otherwise(status(score))
+
+
 def float_match(number: Column, object_number: Column, distance: Column, caption: Column, kind: Column) -> Column:
     """35 for the section, 35 equal number, 20 or 10 for nearness; 40 or 35 for a table's screenshot, else 15 for
     a compatible type, else -10."""

@@ -88,3 +88,8 @@ def retained(jobs: DataFrame, group: str, job: str, age: str, size: str, most_jo
 
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("kept"))
     return ordered.select(group, F.explode(F.aggregate("items", start, step, lambda seen: seen["kept"])).alias(job))
+
+
+def unexpired(jobs: DataFrame, at: str, now, ttl_seconds: int) -> DataFrame:
+    """Jobs not older than the time to live at the moment `now`."""
+    return jobs.filter(F.col(at) >= F.lit(now) - F.make_dt_interval(secs=F.lit(ttl_seconds)))

@@ -169,18 +169,12 @@ def referrers(spark, d):
     return matching.reverse_references(rows, ["l_orderkey", "rid"], "l_linenumber")
 
 
-BIND = "(CASE WHEN l_returnflag <> 'R' THEN 30 ELSE 0 END + 20 + CASE WHEN l_linenumber = 1 + o_orderkey % 4 THEN 35 ELSE 0 END + CASE WHEN l_partkey % 6 <= 1 THEN 15 WHEN l_partkey % 6 <= 3 THEN 8 ELSE 0 END)"
+BIND = "(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 50 + CASE WHEN l_linenumber = 1 + o_orderkey % 4 THEN 35 ELSE 0 END + CASE WHEN l_partkey % 6 <= 1 THEN 15 WHEN l_partkey % 6 <= 3 THEN 5 ELSE 0 END END)"
 
 
 def _bindings(spark, d):
     rows = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.withColumn("score", scores.binding(F.col("l_returnflag") != "R", F.lit(True), F.col("l_linenumber") == 1 + F.col("o_orderkey") % 4, F.col("l_partkey") % 6))
-
-
-@query(f"SELECT o_orderkey, l_linenumber, l_partkey, score, CASE WHEN score >= 80 THEN 'ok' WHEN score >= 50 THEN 'need_review' ELSE 'warning' END AS status FROM (SELECT *, {BIND} AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
-def binding_scores(spark, d):
-    """Statuses of binding scores; H30 and H34 are evidence_scores and float_matches."""
-    return _bindings(spark, d).select("o_orderkey", "l_linenumber", "l_partkey", "score", scores.status(F.col("score")).alias("status"))
+    return rows.withColumn("score", scores.evidence(F.col("l_returnflag") != "R", F.lit(True), F.col("l_linenumber") == 1 + F.col("o_orderkey") % 4, F.col("l_partkey") % 6))
 
 
 @query(f"SELECT o_orderkey, score, score - coalesce(nxt, 0) AS lead, score >= 80 AND score - coalesce(nxt, 0) >= 15 AS bound FROM (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS nxt FROM (SELECT o_orderkey, {BIND} AS score, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WINDOW w AS (PARTITION BY o_orderkey ORDER BY score DESC, l_linenumber)) WHERE r = 1")
@@ -235,14 +229,6 @@ def subfigure_targets(spark, d):
     return matching.resolved_targets(xrefs, targets, ["l_orderkey"], "rid")
 
 
-@query("SELECT c.conv_id, set_score, bag_score, count_score FROM (SELECT conv_id, (CASE WHEN len(sa) = 0 AND len(sb) = 0 THEN 100 WHEN len(sa) = 0 OR len(sb) = 0 THEN 0 ELSE 200 * len(list_intersect(sa, sb)) // (len(sa) + len(sb)) END)::BIGINT AS set_score, (CASE WHEN len(ta) = 0 AND len(tb) = 0 THEN 100 WHEN len(ta) = 0 OR len(tb) = 0 THEN 0 ELSE 200 * list_sum(list_transform(sa, lambda t: least(len(list_filter(ta, lambda u: u = t)), len(list_filter(tb, lambda u: u = t))))) // (len(ta) + len(tb)) END)::BIGINT AS bag_score, (CASE WHEN len(ta) = 0 AND len(tb) = 0 THEN 100 ELSE 100 * least(len(ta), len(tb)) // greatest(len(ta), len(tb)) END)::BIGINT AS count_score FROM (SELECT conv_id, ta, tb, list_distinct(ta) AS sa, list_distinct(tb) AS sb FROM (SELECT a.conv_id, list_filter(regexp_split_to_array(lower(a.text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '') AS ta, list_filter(regexp_split_to_array(lower(b.text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '') AS tb FROM (SELECT conv_id, min(text) AS text FROM conversations WHERE turn = 0 GROUP BY 1) a JOIN (SELECT conv_id, min(text) AS text FROM conversations WHERE turn = 1 GROUP BY 1) b USING (conv_id)))) c")
-def token_scores(spark, d):
-    """Set, bag and count scores of two texts."""
-    rows = table(spark, d, "conversations").withColumn("tokens", F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
-    side = lambda k: rows.filter(F.col("turn") == k).groupBy("conv_id").agg(F.min_by("tokens", "text").alias("tokens"))
-    return matching.token_overlap(side(0), side(1), "conv_id", "tokens")
-
-
 @query("WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '') AS ta, coalesce(text, '') AS text FROM conversations), p AS (SELECT conv_id, turn, ta, lead(ta) OVER (PARTITION BY conv_id ORDER BY turn, text) AS tb FROM t), s AS (SELECT *, list_distinct(ta) AS sa, list_distinct(tb) AS sb FROM p WHERE tb IS NOT NULL) SELECT conv_id, turn, (CASE WHEN len(sa) = 0 AND len(sb) = 0 THEN 100 WHEN len(sa) = 0 OR len(sb) = 0 THEN 0 ELSE 200 * len(list_intersect(sa, sb)) // (len(sa) + len(sb)) END)::BIGINT AS set_score, (CASE WHEN len(ta) = 0 AND len(tb) = 0 THEN 100 WHEN len(ta) = 0 OR len(tb) = 0 THEN 0 ELSE 200 * list_sum(list_transform(sa, lambda t: least(len(list_filter(ta, lambda u: u = t)), len(list_filter(tb, lambda u: u = t))))) // (len(ta) + len(tb)) END)::BIGINT AS bag_score, (CASE WHEN len(ta) = 0 AND len(tb) = 0 THEN 100 ELSE 100 * least(len(ta), len(tb)) // greatest(len(ta), len(tb)) END)::BIGINT AS count_score FROM s")
 def turn_scores(spark, d):
     """D17, D18, D19, D20, G3, G4 over whole conversations: every turn against the next one."""
@@ -298,3 +284,20 @@ def profile_defaults(spark, d):
 def tag_counts(spark, d):
     """How often nine tags open."""
     return table(spark, d, "pages").select("page_id", *(F.regexp_count("html", F.lit(f"<{t}[ />]")).cast("long").alias(f"n_{t}") for t in ("article", "nav", "li", "ul", "a", "p", "h1", "footer", "script")))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, least(100, CASE WHEN l_partkey % 2 = 0 THEN 60 ELSE 0 END + CASE WHEN l_partkey % 3 = 0 THEN 55 ELSE 0 END + CASE WHEN l_suppkey % 4 = 0 THEN 25 ELSE 0 END)::INT AS score, l_partkey % 2 = 0 OR l_partkey % 3 = 0 OR l_suppkey % 4 = 0 AS is_display, (CASE l_linenumber % 3 WHEN 0 THEN 100 WHEN 1 THEN 70 ELSE 40 END)::INT AS most, CASE WHEN l_linenumber % 3 = 1 THEN 'need_review' WHEN l_linenumber % 3 = 2 THEN 'warning' WHEN least(100, CASE WHEN l_partkey % 2 = 0 THEN 60 ELSE 0 END + CASE WHEN l_partkey % 3 = 0 THEN 55 ELSE 0 END + CASE WHEN l_suppkey % 4 = 0 THEN 25 ELSE 0 END) >= 80 THEN 'ok' WHEN least(100, CASE WHEN l_partkey % 2 = 0 THEN 60 ELSE 0 END + CASE WHEN l_partkey % 3 = 0 THEN 55 ELSE 0 END + CASE WHEN l_suppkey % 4 = 0 THEN 25 ELSE 0 END) >= 50 THEN 'need_review' ELSE 'warning' END AS status FROM lineitem")
+def formula_evidence(spark, d):
+    """How sure a formula is, with the caps of its conversion."""
+    c = F.col
+    score, display = scores.formula(c("l_partkey") % 2 == 0, c("l_partkey") % 3 == 0, c("l_suppkey") % 4 == 0)
+    conversion = F.when(c("l_linenumber") % 3 == 0, "success").when(c("l_linenumber") % 3 == 1, "partial").otherwise("failed")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", score.alias("score"), display.alias("is_display"), scores.most_of(conversion).alias("most"), conversion.alias("conversion"))
+    return rows.withColumn("status", scores.capped_status(c("score"), c("conversion"))).drop("conversion")
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY")
+def fresh_jobs(spark, d):
+    """Jobs that have not expired, two days before the newest."""
+    events = table(spark, d, "events")
+    return ordered.unexpired(events, "ts", events.agg(F.max("ts")).first()[0], 2 * 86400).select("event_id", "user_id")
