@@ -52,6 +52,8 @@ class Merges:
         letters, vocab = byte_letters(), spec["model"]["vocab"]
         if spec.get("normalizer") or spec["model"].get("end_of_word_suffix") or spec["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("only plain byte-level vocabularies")
+        if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("only added tokens that take nothing but themselves")
         self.bytes_of = {i: bytes(letters[c] for c in word) for word, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: content.encode() for content, i in self.special.items()}

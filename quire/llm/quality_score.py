@@ -1,13 +1,15 @@
 """Quality scores: ridge regression on random Fourier features of document statistics, calibrated.
 
 Statistics of the whole text (lengths, shares of character classes, repetition, markup) are standardised;
-cosines of FEATURES random projections approximate a Gaussian kernel over them. Each partition of the
+cosines of FEATURES random projections approximate a Gaussian kernel over them; the standardised statistics themselves
+and a constant stand beside these. Each partition of the
 labelled rows sums its part of the normal equations, for two folds; the sums give the weights of all rows,
 and for each fold weights of the other, whose out-of-fold scores fit an isotonic calibration over score bins.
 
 Defined cases: a null text is an empty one; labels that are null or of unknown documents teach nothing; a
 document labelled twice counts twice; without usable labels of both kinds every score is 0.5; repeated rows
-get equal scores; a null doc_id is never held out nor learnt from; an empty table gives an empty result.
+get equal scores; a null doc_id is never held out nor learnt from; texts of any length are read whole; bytes that are
+no UTF-8 count as U+FFFD; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations

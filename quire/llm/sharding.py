@@ -4,8 +4,8 @@ The law is `key`: the key and the number of shards decide the shard, no ring tab
 shard takes rows only into itself. Equal keys (repeated rows, a hot key) share a shard.
 
 Defined cases: a null key hashes like a fixed key of its own; a null text counts no bytes and has the
-checksum of the empty text; repeated rows each get a slot; an empty table gives an empty result; further
-columns of the input are not read.
+checksum of the empty text; texts of any length are summed whole; repeated rows each get a slot; an empty table gives
+an empty result; further columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -82,3 +82,64 @@ def test_one_of_each_stays(spark):
     a, b = "alpha beta gamma delta epsilon", "some other words stand here"
     docs = spark.createDataFrame([(5, a, "x"), (3, a, "y"), (3, a, "y"), (4, b, "z"), (6, None, "n"), (7, "", "n"), (None, a, "n")], "doc_id long, text string, node string")
     assert sorted(map(tuple, one_of_each(docs).collect()), key=str) == sorted([(3, a, "y"), (4, b, "z"), (6, None, "n"), (7, "", "n"), (None, a, "n")], key=str)
+
+
+def test_random_stars_chains_and_passages(spark):
+    """Families whose members lie near the threshold, chains of small steps, and passages that many share."""
+    import random
+
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(4):
+        base = rng.choices(vocabulary, k=90)
+        for _ in range(14):  # a star: edits of one text, some inside the threshold, some not
+            own = list(base)
+            for _ in range(rng.randint(0, 5)):
+                own[rng.randrange(90)] = rng.choice(vocabulary)
+            texts.append(own)
+        chain = list(base)
+        for _ in range(10):  # a chain: each an edit of the one before
+            chain = list(chain)
+            for _ in range(rng.randint(1, 3)):
+                chain[rng.randrange(90)] = rng.choice(vocabulary)
+            texts.append(chain)
+    passage = rng.choices(vocabulary, k=60)
+    texts += [passage + rng.choices(vocabulary, k=rng.randint(2, 20)) for _ in range(40)]
+    rng.shuffle(texts)
+    sets = [frozenset(zip(t, t[1:], t[2:], t[3:])) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in join_components(docs).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+
+
+def test_hot_shingles_in_parts(spark, monkeypatch):
+    from quire.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "PART_ROWS", 5)
+    docs = spark.createDataFrame([(i, f"one very common line of words that all share {i} {'x y z q ' * (i % 3)}") for i in range(60)], "doc_id long, text string")
+    rows = sorted(map(tuple, join_components(docs).collect()))
+    monkeypatch.setattr(jaccard_join, "PART_ROWS", 10_000)
+    assert sorted(map(tuple, join_components(docs).collect())) == rows
+
+
+def test_one_of_each_keeps_any_columns(spark):
+    from quire.llm.jaccard_join import one_of_each
+
+    names = ("id", "hash", "row", "_id", "_hash", "_first", "node", "n")
+    docs = spark.createDataFrame([(2, "alpha beta gamma delta epsilon", *names), (5, "alpha beta gamma delta epsilon", *names), (None, "alpha beta gamma delta epsilon", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    rows = one_of_each(docs)
+    assert rows.columns == docs.columns and sorted(((r["doc_id"], r["_id"], r["hash"]) for r in rows.collect()), key=str) == [(2, "_id", "hash"), (None, "_id", "hash")]

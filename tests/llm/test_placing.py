@@ -118,3 +118,11 @@ def test_mixed_documents_hold_what_is_taken(small):
         assert len(WORDS.findall(r["text"])) == words.pop(r["doc_id"])
         assert r["n_chars"] == len(r["text"])
     assert not any(words.values())
+
+
+def test_mixed_documents_keep_any_columns(spark):
+    names = ("id", "no_id", "hash", "row", "cuts", "new", "uid", "_id", "_hash", "_cuts")
+    docs = spark.createDataFrame([(i, f"words of the text {i} " * 5, "a", 0, *names) for i in (1, 1, 2)], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    rows = mixed_documents(docs)
+    got = rows.collect()
+    assert rows.columns == docs.columns and {r["doc_id"] for r in got} <= {1, 2} and all(r[n] == n for r in got for n in names)
