@@ -6,11 +6,8 @@ rank all shingles. Two sets with 100 * intersection >= T * union share at least
 takes the longer prefixes. Of these, the second order, rarest first, needs only the first
 (length - needed + 1): two prefixes that share `needed` shingles share one there. So very common shingles
 give candidates only to texts that consist of them. A candidate must then share prefix shingles under two further
-orders as well: each node's prefixes under these are joined to the pairs, and only the pairs that every filter leaves
-have their texts fetched and their sets compared.
-
-Shingles that very many nodes share are counted and joined in parts (spread): a part for each PART_ROWS of a shingle's
-rows, so that no task holds all nodes of one.
+orders as well: the prefixes of the candidates' nodes under these are made where their texts lie and joined to the
+pairs, and only the pairs that every filter leaves have their texts fetched and their sets compared.
 
 Links of large groups are not listed pair by pair: in STARS rounds each shingle's nodes are compared with
 one of them, then only those that its component has not reached. Then each node left joins the family of a hub,
@@ -47,10 +44,6 @@ PERCENT = 85
 #: Prefixes are longer by so many hundredths of the set than one shared shingle asks.
 LONGER = 10
 STARS = 1
-#: Rows of one shingle that one part holds; shingles of more rows are dealt into parts.
-PART_ROWS = 2000
-#: Those of several parts are sent to all tasks up to this many (some 50 MB); beyond, they are joined by shuffle.
-MOST_SENT_KEYS = 1_000_000
 CACHE_WORDS = 300_000
 #: Sets that a comparing worker remembers.
 CACHE_SETS = 1500
@@ -121,22 +114,19 @@ def released(spark: SparkSession) -> None:
 
 
 def sets(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """Written: doc_id, hash (of the text), node, n, prefix (of the first order), third and fourth (prefixes of those)."""
-    longs = pa.list_(pa.int64())
+    """Written: doc_id, hash (of the text), node, n, prefix (of the first order)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t or b"", words) for t in batch.column(1).to_pylist()]
-            more = [further_prefixes(s, percent) for s in found]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0), "hash": batch.column(2), "node": pa.array([node_of(s) if len(s) else None for s in found], pa.int64()),
                 "n": pa.array([len(s) for s in found], pa.int64()),
-                "prefix": pa.array([s[: prefix_length(len(s), int(shared_needed(len(s))), percent)].view(np.int64) for s in found], longs),
-                "third": pa.array([m[0].view(np.int64) for m in more], longs), "fourth": pa.array([m[1].view(np.int64) for m in more], longs),
+                "prefix": pa.array([s[: prefix_length(len(s), int(shared_needed(len(s))), percent)].view(np.int64) for s in found], pa.list_(pa.int64())),
             })
 
     with short_batches(docs.sparkSession):
-        return written(_texts(docs).mapInArrow(run, "doc_id long, hash long, node long, n long, prefix array<long>, third array<long>, fourth array<long>"), "sets")
+        return written(_texts(docs).mapInArrow(run, "doc_id long, hash long, node long, n long, prefix array<long>"), "sets")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -151,12 +141,33 @@ def _needed(n) -> F.Column:
     return F.greatest(F.lit(1), F.ceil(n * LONGER / 100))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
-    """Written: the pairs (a, b) of nodes that are linked: those whose prefixes meet under the further orders too are
-    compared by their texts."""
-    sides = [nodes.select(F.col("node").alias(x), F.col("third").alias(f"third_{x}"), F.col("fourth").alias(f"fourth_{x}")) for x in ("a", "b")]
+def filtered(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, words: int) -> DataFrame:
+    """Written: the pairs (a, b) whose prefixes meet under the third and the fourth order too. Texts stay where they lie;
+    only prefixes are moved."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = ends.join(nodes.select("node", F.col("low").alias("doc_id")), "node")
+    found = _texts(docs).join(wanted, "doc_id").select("node", "text")
+    longs = pa.list_(pa.int64())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(node, shingles(text or b"", words)) for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            # Where an id has several texts, the join also meets those that are not the node's.
+            own = [(node, further_prefixes(s, percent)) for node, s in rows if len(s) and node_of(s) == node]
+            yield pa.RecordBatch.from_pydict({
+                "node": pa.array([n for n, _ in own], pa.int64()), "third": pa.array([x[0].view(np.int64) for _, x in own], longs), "fourth": pa.array([x[1].view(np.int64) for _, x in own], longs),
+            })
+
+    with short_batches(docs.sparkSession):
+        prefixes = written(found.mapInArrow(run, "node long, third array<long>, fourth array<long>").dropDuplicates(["node"]), "prefixes")
+    sides = [prefixes.select(F.col("node").alias(x), F.col("third").alias(f"third_{x}"), F.col("fourth").alias(f"fourth_{x}")) for x in ("a", "b")]
     meet = F.arrays_overlap("third_a", "third_b") & F.arrays_overlap("fourth_a", "fourth_b")
-    pairs = written(pairs.join(sides[0], "a").join(sides[1], "b").filter(meet).select("a", "b"), "filtered")
+    return written(pairs.join(sides[0], "a").join(sides[1], "b").filter(meet).select("a", "b"), "filtered")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
+    """Written: the pairs (a, b) of nodes that are linked: those that all filters leave are compared by their texts."""
+    pairs = filtered(pairs, docs, nodes, percent, words)
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = ends.join(nodes.select("node", F.col("low").alias("doc_id")), "node")
     texts = _texts(docs).join(wanted, "doc_id").select("node", "text")
@@ -208,47 +219,30 @@ def components(links: DataFrame) -> DataFrame:
         released(spark)
 
 
-def spread(rows: DataFrame, keys: list[str], label: str, *more: F.Column) -> tuple[DataFrame, DataFrame]:
-    """Rows with part, and the written keys that several rows have: keys, g (how many), more, parts."""
-    counts = written(rows.groupBy(*keys).agg(F.count("*").alias("g"), *more).filter("g > 1").withColumn("parts", F.ceil(F.col("g") / PART_ROWS).cast("int")), f"{label}-counts")
-    # Keys of several parts are one for each PART_ROWS rows at most; few enough are sent to all tasks.
-    large = counts.filter("parts > 1").select(*keys, "parts")
-    large = F.broadcast(large) if large.count() <= MOST_SENT_KEYS else large
-    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")
-    return rows.join(large, keys, "left").withColumn("part", part).drop("parts"), counts
-
-
-def in_parts(by_key: DataFrame) -> DataFrame:
-    """A row of each key for each of its parts."""
-    return by_key.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-
-
 def indexed(rows: DataFrame, percent: int) -> DataFrame:
-    """Written: token, part, parts, node, n; the shingles by which candidates meet."""
+    """Written: token, node, n; the shingles by which candidates meet."""
     spark = rows.sparkSession
     entries = rows.dropDuplicates(["node"]).select("node", "n", F.size("prefix").alias("length"), F.explode("prefix").alias("token"))
-    parted, counts = spread(entries, ["token"], "shingles")
-    shared = written(parted.join(in_parts(counts), ["token", "part"]), "shared")
+    shared = written(entries.withColumn("g", F.count("*").over(W.partitionBy("token"))).filter("g > 1"), "shared")
     released(spark)
     by_node = W.partitionBy("node")
     rank = F.row_number().over(by_node.orderBy("g", "token"))  # after the node's shingles that no other has
     needed = _needed(F.ceil(F.col("n") * percent / 100))
     ranked = shared.withColumn("place", rank + F.col("length") - F.count("*").over(by_node))
-    return written(ranked.filter(F.col("place") <= F.col("length") - needed + 1).select("token", "part", "parts", "node", "n"), "index")
+    return written(ranked.filter(F.col("place") <= F.col("length") - needed + 1).select("token", "node", "n"), "index")
 
 
 def placed(index: DataFrame, part: DataFrame | None) -> DataFrame:
     """The index with each node's component, and whether it is the one of most of its shingle's nodes (is_top);
     shingles whose nodes are all in one component go."""
     rows = index.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")) if part is not None else index.withColumn("component", F.col("node"))
-    return _with_top(rows, "component").withColumn("is_top", F.col("component") == F.col("top")).drop("top")
-
-
-def _with_top(rows: DataFrame, group: str) -> DataFrame:
-    """The rows of the shingles with several groups, with top: the group of most of the shingle's nodes."""
-    sizes = rows.groupBy("token", "parts", group).agg(F.count("*").alias("m"))
-    tops = sizes.groupBy("token", "parts").agg(F.count("*").alias("groups"), F.max(F.struct("m", F.col(group).alias("top"))).alias("best")).filter("groups > 1")
-    return rows.join(in_parts(tops.select("token", "parts", "best.top")).drop("parts"), ["token", "part"])
+    by_token = W.partitionBy("token")
+    tops = (
+        rows.groupBy("token", "component").agg(F.count("*").alias("m"))
+        .withColumn("parts", F.count("*").over(by_token)).withColumn("top", F.max(F.struct("m", "component")).over(by_token))
+        .filter((F.col("parts") > 1) & (F.col("component") == F.col("top.component"))).select("token", F.col("component").alias("top"))
+    )
+    return rows.join(tops, "token").withColumn("is_top", F.col("component") == F.col("top")).drop("top")
 
 
 def stars(index: DataFrame, part: DataFrame | None, turn: int, percent: int) -> DataFrame:
@@ -256,9 +250,9 @@ def stars(index: DataFrame, part: DataFrame | None, turn: int, percent: int) ->
     those met by most shingles. What this leaves out stays for the last round."""
     rows = placed(index, part)
     pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))).alias("p")
-    pivots = in_parts(rows.filter("is_top").groupBy("token", "parts").agg(pivot)).select("token", "part", "p.a", "p.an", "p.ac")
+    pivots = rows.filter("is_top").groupBy("token").agg(pivot).select("token", "p.a", "p.an", "p.ac")
     met = (
-        rows.join(pivots, ["token", "part"]).filter((F.col("component") != F.col("ac")) & _fits("n", "an", percent))
+        rows.join(pivots, "token").filter((F.col("component") != F.col("ac")) & _fits("n", "an", percent))
         .groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
     )
     first = F.row_number().over(W.partitionBy("b").orderBy(F.desc("c"), "a"))
@@ -267,12 +261,10 @@ def stars(index: DataFrame, part: DataFrame | None, turn: int, percent: int) ->
 
 def hubs(rest: DataFrame) -> DataFrame:
     """Written: node, hub. Each shingle names the node that meets most others; a node takes the hub most of its shingles name."""
-    sizes = in_parts(rest.groupBy("token", "parts").agg(F.count("*").alias("g"))).drop("parts")
-    met = rest.select("token", "part", "parts", "node").join(sizes, ["token", "part"])
+    by_token = W.partitionBy("token")
+    met = rest.select("token", "node", F.count("*").over(by_token).alias("g"))
     degree = F.struct(F.sum("g").over(W.partitionBy("node")).alias("met"), F.col("node").alias("hub"))
-    known = written(met.withColumn("degree", degree), "degrees")
-    tops = in_parts(known.groupBy("token", "parts").agg(F.max("degree").alias("top"))).drop("parts")
-    named = known.select("token", "part", "node").join(tops, ["token", "part"])
+    named = met.withColumn("degree", degree).select("node", F.max("degree").over(by_token).alias("top"))
     votes = named.groupBy("node", "top").agg(F.count("*").alias("c"))
     return written(votes.groupBy("node").agg(F.max(F.struct("c", "top")).alias("best")).select("node", F.col("best.top.hub").alias("hub")), "hubs")
 
@@ -351,8 +343,11 @@ def family_pairs(diffs: DataFrame, part: DataFrame, percent: int) -> DataFrame:
         .filter("low < high AND NOT all_linked").select("hub")
     )
     entries = placed_.join(open_hubs, "hub").select("hub", "node", "n", "n_hub", "size", "linked", "component", F.explode("diff").alias("token"))
-    parted, counts = spread(entries, ["hub", "token"], "differences", F.min("linked").alias("alone"))
-    shared = parted.join(in_parts(counts.filter("NOT alone")).drop("parts"), ["hub", "token", "part"]).drop("part")
+    by_token = W.partitionBy("hub", "token")
+    shared = (
+        entries.withColumn("g", F.count("*").over(by_token)).withColumn("alone", F.min("linked").over(by_token))
+        .filter((F.col("g") > 1) & ~F.col("alone"))
+    )
     by_node = W.partitionBy("hub", "node")
     place, length = F.row_number().over(by_node.orderBy("g", "token")), F.count("*").over(by_node)
     w = more * F.col("size") - less * F.col("n")
@@ -381,7 +376,13 @@ def family_pairs(diffs: DataFrame, part: DataFrame, percent: int) -> DataFrame:
 def across(rest: DataFrame, family: DataFrame) -> DataFrame:
     """Written: the shingles whose nodes are in several families, with each node's hub and the shingle's top family."""
     rows = rest.drop("is_top", "component").join(family, "node", "left").withColumn("hub", F.coalesce("hub", "node"))
-    return written(_with_top(rows, "hub"), "across")
+    by_token = W.partitionBy("token")
+    tops = (
+        rows.groupBy("token", "hub").agg(F.count("*").alias("m"))
+        .withColumn("parts", F.count("*").over(by_token)).withColumn("top", F.max(F.struct("m", "hub")).over(by_token))
+        .filter((F.col("parts") > 1) & (F.col("hub") == F.col("top.hub"))).select("token", F.col("hub").alias("top"))
+    )
+    return written(rows.join(tops, "token"), "across")
 
 
 def guests(rows: DataFrame) -> DataFrame:
@@ -418,7 +419,7 @@ def joined(docs: DataFrame, percent: int = PERCENT, rounds: int = STARS, words:
     spark = docs.sparkSession
     rows = sets(docs, percent, words)
     usable = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = written(usable.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "hash")).alias("first"), F.first("third").alias("third"), F.first("fourth").alias("fourth")), "nodes")
+    nodes = written(usable.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "hash")).alias("first")), "nodes")
     index = indexed(usable, percent)
     released(spark)
     tried, links, part = None, spark.createDataFrame([], "a long, b long"), None
@@ -451,7 +452,7 @@ def joined(docs: DataFrame, percent: int = PERCENT, rounds: int = STARS, words:
             part = components(links.union(more))
     ends = nodes.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = ends.groupBy("component").agg(F.min("low").alias("component_id"), F.min("first").alias("first"))
-    ids = ends.select("node", "component").join(lowest, "component").select("node", "component_id", "first")
+    ids = ends.drop("first").join(lowest, "component").select("node", "component_id", "first")
     released(spark)
     return rows.join(ids, "node", "left").select("doc_id", "hash", "n", "component_id", "first")
 

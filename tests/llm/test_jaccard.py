@@ -126,16 +126,6 @@ def test_random_stars_chains_and_passages(spark):
     assert got == {i: root(i) for i in range(len(texts))}
 
 
-def test_hot_shingles_in_parts(spark, monkeypatch):
-    from quire.llm import jaccard_join
-
-    monkeypatch.setattr(jaccard_join, "PART_ROWS", 5)
-    docs = spark.createDataFrame([(i, f"one very common line of words that all share {i} {'x y z q ' * (i % 3)}") for i in range(60)], "doc_id long, text string")
-    rows = sorted(map(tuple, join_components(docs).collect()))
-    monkeypatch.setattr(jaccard_join, "PART_ROWS", 10_000)
-    assert sorted(map(tuple, join_components(docs).collect())) == rows
-
-
 def test_one_of_each_keeps_any_columns(spark):
     from quire.llm.jaccard_join import one_of_each
 
