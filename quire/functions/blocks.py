@@ -205,6 +205,25 @@ def is_reference_continuation(text: Column) -> Column:
     return _has(text, r"(?i)^\s*(?:https?://|doi\s*:|10\.\d{4,9}/)") | (_has(text, r"(?i)^\s*(?:journal|j\.|proceedings|proc\.|annals|transactions)\b") & _has(text, r"\b(?:19|20)\d{2}\b"))
 
 
+def profile_type(text: Column, kind: Column, style: Column, figures: Column, tables: Column) -> Column:
+    """A block that a profile's patterns name a caption, where it looks like one of that kind."""
+    captions = kind.isin("figure_caption", "table_caption")
+    named = lambda patterns, of: F.exists(patterns, lambda p: F.rlike(text, F.concat(F.lit("(?i)"), p))) & (captions | is_float_caption(text, style, of))
+    return F.when(named(figures, "figure"), "figure_caption").when(named(tables, "table"), "table_caption").otherwise(kind)
+
+
+#: H36, fixed values: a table whose header names all of these is known.
+KNOWN_HEADER = ["linear", "equation", "diluent", "logd", "ph"]
+KNOWN_CAPTION = "Linear regression equations of log D versus pH in different diluents."
+
+
+def inferred_caption(caption: Column, rows: Column) -> Column:
+    """The caption of a table without one, if its header tells it."""
+    header = F.lower(F.regexp_replace(F.array_join(F.get(rows, F.lit(0)), ""), r"\s+", ""))
+    known = F.forall(F.array(*map(F.lit, KNOWN_HEADER)), lambda w: F.contains(header, w))
+    return F.when((caption == "") & (F.size(rows) > 0) & known, KNOWN_CAPTION).otherwise(caption)
+
+
 #: B23, fixed values: node type to JATS path and tag.
 JATS_PATHS = {
     "title": ("front/article-meta/title-group", "article-title"), "author": ("front/article-meta/contrib-group", "contrib"), "affiliation": ("front/article-meta", "aff"),

@@ -124,3 +124,20 @@ def read_media(media: DataFrame, doc_id: str, name: str) -> DataFrame:
 def caption_evidence(captions: DataFrame) -> DataFrame:
     """H1 with D13: captions (kind, caption) split, for a table of its own."""
     return captions.withColumn("split", names.caption_split(F.col("caption"), F.col("kind")))
+
+
+def read_articles(spark: SparkSession, path: str) -> DataFrame:
+    """Articles, corrected by hand or kept, from JSON lines; fields that are missing are empty."""
+    rows = spark.read.schema(f"doc_id string, {jats.ARTICLE}").json(path)
+    empty = {f.name: F.coalesce(F.col(f.name), F.array().cast(f.dataType)) if f.dataType.typeName() == "array" else F.coalesce(F.col(f.name), F.lit("")) for f in rows.schema if f.name != "doc_id"}
+    return rows.select("doc_id", *(c.alias(n) for n, c in empty.items()))
+
+
+def write_results(converted: DataFrame, path: str) -> None:
+    """Every row, failed ones too, as JSON lines."""
+    converted.write.mode("overwrite").json(path)
+
+
+def catalog_of(samples: DataFrame, files: DataFrame) -> DataFrame:
+    """The samples (filename, label, xml) whose file is there, by label."""
+    return samples.join(files.select(F.col("name").alias("filename")).distinct(), "filename", "left_semi").orderBy("label")

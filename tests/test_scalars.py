@@ -128,3 +128,19 @@ def test_views(spark):
     assert one(spark, views.fragment(F.lit(xml), F.lit("fig1"), F.lit("sec"))) == '<fig id="fig1" x="y"/>' and one(spark, views.fragment(F.lit(xml), F.lit("none"), F.lit("sec"))) == '<sec id="s1">'
     rows = spark.createDataFrame([(1, "ok"), (1, "warning"), (2, "need_review")], "d int, s string").groupBy("d").agg(views.worst("s").alias("w")).collect()
     assert {r["d"]: r["w"] for r in rows} == {1: "warning", 2: "need_review"}
+
+
+def test_profiles_and_known_tables(spark):
+    patterns = lambda *p: F.array(*map(F.lit, p))
+    kind = lambda t, k="paragraph": one(spark, blocks.profile_type(F.lit(t), F.lit(k), F.lit(""), patterns(r"^\s*Fig\.?\s*\d+"), patterns(r"^\s*Table\s*\d+")))
+    assert kind("Fig. 3. A flow") == "figure_caption" and kind("Fig. 3 shows a flow") == "paragraph" and kind("Table 1: Values") == "table_caption"
+    rows = F.array(F.array(*map(F.lit, ("Linear equation", "Diluent", "log D", "pH"))))
+    assert one(spark, blocks.inferred_caption(F.lit(""), rows)) == blocks.KNOWN_CAPTION and one(spark, blocks.inferred_caption(F.lit("own"), rows)) == "own"
+
+
+def test_articles_from_json(spark, tmp_path):
+    from quire.plans import surface
+
+    (tmp_path / "a.json").write_text('{"doc_id": "1", "title": "T", "abstract": "A", "keywords": ["k"], "sections": [{"label": "", "title": "One", "level": 1, "paragraphs": ["see Fig. 1"]}], "figures": [{"id": "", "caption": "Fig. 1. C", "paths": ["a.png"], "section_index": 0}]}')
+    row = surface.regenerate(surface.read_articles(spark, f"file://{tmp_path}/a.json")).first()
+    assert 'rid="fig1"' in row["jats"] and "<label>1.</label>" in row["jats"] and row["passed"] and row["validation"]["jats_schema_valid"]
