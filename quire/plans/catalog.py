@@ -102,7 +102,7 @@ def parent_sections(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey)::INTEGER AS k FROM lineitem")
 def object_numbers(spark, d):
-    """E11, E12."""
+    """E11."""
     rows = table(spark, d, "lineitem").withColumn("at", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
     return ordered.numbered(rows, "l_orderkey", "at", "l_returnflag", "k").select("l_orderkey", "l_linenumber", "l_returnflag", "k")
 

@@ -18,6 +18,11 @@ from . import surface
 from .catalog import query
 
 
+def reverse_xrefs(spans, target_types=("fig", "table")):
+    """(rid, place) of the references of one paragraph: its k-th span of any kind, figures and tables kept."""
+    return F.flatten(F.transform(spans, lambda s, k: F.when(s["ref_type"].isin(*target_types), F.transform(s["rids"], lambda r: F.struct(r.alias("rid"), (k + 1).alias("k")))).otherwise(F.array().cast("array<struct<rid:string,k:int>>"))))
+
+
 def _parts(spark, d):
     return table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
 
@@ -55,6 +60,16 @@ def xref_spans(spark, d):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", shown.alias("spans"), F.size("spans").cast("long").alias("n"))
 
 
+@query("WITH x AS (SELECT l_orderkey, unnest(['fig' || l_linenumber, 'tab1', 'tab' || (2 + l_partkey % 5)]) AS rid, unnest([1, 2, 2]) AS k, l_linenumber AS n FROM lineitem) SELECT l_orderkey, rid, count(*) AS n_refs, string_agg('sec' || n || '-p1-xref' || k, ',' ORDER BY n, k) AS places FROM x GROUP BY 1, 2")
+def xref_places(spark, d):
+    """Who refers to a figure or table, by section, paragraph and place of the reference, in order."""
+    text = F.concat(F.lit("See Figure "), _s("l_linenumber"), F.lit("; Tables 1 and "), _s(2 + F.col("l_partkey") % 5), F.lit(" [1]."))
+    rows = table(spark, d, "lineitem").withColumn("found", citations.candidates(text)).withColumn("spans", citations.resolved(F.col("found")))
+    each = rows.select("l_orderkey", "l_linenumber", F.explode(reverse_xrefs(F.col("spans"))).alias("x")).select("l_orderkey", "x.rid", F.struct("l_linenumber", "x.k").alias("at"))
+    place = lambda a: F.concat(F.lit("sec"), a["l_linenumber"].cast("string"), F.lit("-p1-xref"), a["k"].cast("string"))
+    return each.groupBy("l_orderkey", "rid").agg(F.count("*").alias("n_refs"), F.array_join(F.transform(F.sort_array(F.collect_list("at")), place), ",").alias("places"))
+
+
 @query("WITH t AS (SELECT l_orderkey AS o, list('fig' || l_linenumber) AS ids FROM lineitem GROUP BY 1), r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ids, list_transform(range(1, 2 + l_partkey % 6), lambda x: 'fig' || x) AS rids FROM lineitem JOIN t ON l_orderkey = o) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, array_to_string(list_filter(rids, lambda x: list_contains(ids, x)), ' ') AS rids, array_to_string(list_filter(rids, lambda x: NOT list_contains(ids, x)), ' ') AS missing, CASE WHEN len(list_filter(rids, lambda x: NOT list_contains(ids, x))) = 0 THEN 'ok' ELSE 'need_review' END AS status FROM r")
 def xref_targets(spark, d):
     """Ranges against a document's targets."""
