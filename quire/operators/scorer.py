@@ -149,7 +149,7 @@ def found_issues() -> Column:
         _one(_n(F.col("sections")) == 0, issue("error", "structure", "article.sections", "未识别到章节")),
         _issues(places("sections", lambda x: _n(x["paragraphs"]) == 0), lambda p: issue("warning", "structure", index("article.sections", p["i"]), "章节没有正文段落")),
         _one(~well, issue("error", "jats_schema", "xml", "XML 无法解析")),
-        _one(well & v["jats_schema_valid"].isNull(), issue("warning", "jats_schema", "backend/schemas", "未执行正式 JATS Schema 校验")),
+        _one(well & v["jats_schema_valid"].isNull(), issue("warning", "jats_schema", "schemas", "未执行正式 JATS Schema 校验")),
         F.when(well & ~F.coalesce(v["jats_schema_valid"], F.lit(True)), _issues(F.slice(v["schema_errors"], 1, 10), lambda m: issue("error", "jats_schema", "schema_errors", m))).otherwise(F.array().cast(ISSUES)),
         floats("figures", lambda x: ~_filled(x["caption"]), "图题"), floats("tables", table_bad, "表题"),
         F.flatten(F.coalesce(F.transform("formulas", formula), F.array())),
