@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import sound
+from ._shared import BATCH_ROWS, sound
 
 CACHE_WORDS = 300_000
 #: Words up to this length are remembered, in characters.
@@ -188,7 +188,8 @@ def _mapped(docs: DataFrame, tokenizer_path: str, row, schema: str) -> DataFrame
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary.value)
-        for batch in batches:
+        # A few rows at a time, whatever the session's batches hold.
+        for batch in (b.slice(low, BATCH_ROWS) for b in batches for low in range(0, b.num_rows, BATCH_ROWS)):
             rows = [row(coder, t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array([r[k] for r in rows], kinds[n]) for k, n in enumerate(fields[1:]))], names=fields

@@ -241,14 +241,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     once = docs.select(*own, F.xxhash64("text").alias("hash"), packed(docs).alias("row")).dropDuplicates(keys)
 
     @F.pandas_udf(T.StringType())
-    def cut(text: pd.Series, cuts: pd.Series) -> pd.Series:
+    def cut(text: pd.Series, first: pd.Series, words: pd.Series) -> pd.Series:
         out = []
-        for t, pieces_ in zip(text, cuts):
+        for t, lows, counts in zip(text, first, words):
             at = [m.span() for m in re.finditer(WORD, t)]
-            out.append("\n".join(t[at[p["first"]][0] : at[p["first"] + p["words"] - 1][1]] for p in pieces_))
+            out.append("\n".join(t[at[low][0] : at[low + n - 1][1]] for low, n in zip(lows.tolist(), counts.tolist())))
         return pd.Series(out)
 
-    rows = once.join(cuts, keys).withColumn("new", cut(sound(F.col("row.text")), "cuts"))
+    rows = once.join(cuts, keys).withColumn("new", cut(sound(F.col("row.text")), F.col("cuts.first"), F.col("cuts.words")))
     kept = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("new")}
     if "n_chars" in kept:
         kept["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
