@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BATCH_ROWS, sound
+from ._shared import BATCH_ROWS, short_batches, sound, written
 
 CACHE_WORDS = 300_000
 #: Words up to this length are remembered, in characters.
@@ -188,12 +188,17 @@ def _mapped(docs: DataFrame, tokenizer_path: str, row, schema: str) -> DataFrame
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary.value)
-        # A few rows at a time, whatever the session's batches hold.
-        for batch in (b.slice(low, BATCH_ROWS) for b in batches for low in range(0, b.num_rows, BATCH_ROWS)):
-            rows = [row(coder, t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([r[k] for r in rows], kinds[n]) for k, n in enumerate(fields[1:]))], names=fields
-            )
+        try:
+            # A few rows at a time, whatever the session's batches hold.
+            for batch in (b.slice(low, BATCH_ROWS) for b in batches for low in range(0, b.num_rows, BATCH_ROWS)):
+                rows = [row(coder, t or "") for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *(pa.array([r[k] for r in rows], kinds[n]) for k, n in enumerate(fields[1:]))], names=fields
+                )
+                del batch, rows
+        finally:  # a worker that waits for its next task keeps the merges only
+            coder.known.clear()
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), sound("text").alias("text")).mapInArrow(run, schema)
 
@@ -211,5 +216,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def encode_and_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded back."""
-    return _mapped(docs, tokenizer_path, _coded, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """Written: doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded back. Batches are made
+    where a plan runs, so it runs here, under short ones; the digests are small."""
+    with short_batches(docs.sparkSession):
+        return written(_mapped(docs, tokenizer_path, _coded, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"), "bpe-digests")
