@@ -2,8 +2,7 @@
 
 A span is (start, kind, end): code points, end exclusive, kind as a number from 1 in the order of the list
 of kinds. Between a pattern's matches lie the pieces that split() gives, so lengths of pieces and matches
-add up to the places. Spans are gathered in short runs that are added to the list when full, so a text with many
-spans costs in proportion to its length, not to its square.
+add up to the places. Spans are gathered in short runs, each in a fold of its own, so no step copies the whole list.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
-#: Spans, or parts of a text, that are gathered before they are added to the list.
+#: Spans, or parts of a text, that are gathered in one fold.
 RUN = 256
 
 
@@ -22,22 +21,38 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def _gathered(items: Column, start: dict[str, Column], kind: str, step: Callable[[Column, Column], tuple[dict[str, Column], Column, Column]]) -> Column:
-    """Fold items with the state `start`; step gives the new state, whether to add an element, and the element."""
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once however often it is used, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _gathered(items: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column, Column]], use: Callable[[Column, Column], Column]) -> Column:
+    """use(at, out) of a fold of items from place 0; step gives the new place, whether to add an element, and the element.
+
+    A fold copies its state at each item, so none may carry the whole list: a first one finds the place before each run
+    of items, then every run is folded by itself from there.
+    """
     none = F.array().cast(kind)
 
-    def run(seen: Column, item: Column) -> Column:
-        state, add, element = step(seen, item)
-        full = F.size(seen["run"]) >= RUN
-        left = F.when(full, none).otherwise(seen["run"])
-        return F.struct(
-            *(c.alias(n) for n, c in state.items()),
-            F.when(add, F.concat(left, F.array(element))).otherwise(left).alias("run"),
-            F.when(full, F.concat(seen["out"], seen["run"])).otherwise(seen["out"]).alias("out"),
-        )
+    def before(seen: Column, run: Column) -> Column:
+        at = F.aggregate(run, seen["at"], lambda at, item: step(at, item)[0])
+        return F.struct(at.alias("at"), F.concat(seen["before"], F.array(seen["at"])).alias("before"))
+
+    def gather(run: Column, at: Column) -> Column:
+        def add(seen: Column, item: Column) -> Column:
+            place, more, element = step(seen["at"], item)
+            return F.struct(place.alias("at"), F.when(more, F.concat(seen["out"], F.array(element))).otherwise(seen["out"]).alias("out"))
+
+        return F.aggregate(run, F.struct(at.alias("at"), none.alias("out")), add, lambda seen: seen["out"])
+
+    def cut(every: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(every), F.lit(1)), F.lit(RUN)), lambda i: F.slice(every, i, F.lit(RUN)))
+
+    def fold(runs: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("before"))
+        return _bound(F.aggregate(runs, begin, before), lambda seen: use(seen["at"], F.flatten(F.zip_with(runs, seen["before"], gather))))
 
-    begin = F.struct(*(c.alias(n) for n, c in start.items()), none.alias("run"), none.alias("out"))
-    return F.aggregate(items, begin, run, lambda seen: F.struct(seen["at"].alias("at"), F.concat(seen["out"], seen["run"]).alias("out")))
+    return _bound(_bound(items, cut), fold)
 
 
 def matches(text: Column, pattern: str, kind: int | Callable[[Column], Column], keep: Callable[[Column], Column], hint: Column | None = None) -> Column:
@@ -45,15 +60,15 @@ def matches(text: Column, pattern: str, kind: int | Callable[[Column], Column],
     hint: false where there is none."""
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
 
-    def step(seen: Column, pair: Column) -> tuple[dict[str, Column], Column, Column]:
+    def step(at: Column, pair: Column) -> tuple[Column, Column, Column]:
         piece, match = pair["piece"], pair["match"]
-        start = seen["at"] + F.length(piece)
+        start = at + F.length(piece)
         end = start + F.coalesce(F.length(match), F.lit(0))
         number = kind(match) if callable(kind) else F.lit(kind)
         span = F.struct(start.alias("start"), number.alias("kind"), end.alias("end"))
-        return {"at": end}, match.isNotNull() & keep(match), span
+        return end, match.isNotNull() & keep(match), span
 
-    found = _gathered(pairs, {"at": F.lit(0)}, SPANS, step)["out"]
+    found = _gathered(pairs, SPANS, step, lambda at, out: out)
     return F.when(text.rlike(pattern) if hint is None else hint, found).otherwise(no_spans())
 
 
@@ -82,10 +97,9 @@ def replaced(text: Column, spans: Column, marks: list[str]) -> Column:
     """The text with each run of overlapping spans (ordered by start) as one mark, that of the run's first span's kind."""
     names = F.array(*map(F.lit, marks))
 
-    def step(seen: Column, s: Column) -> tuple[dict[str, Column], Column, Column]:
-        part = F.concat(F.call_function("substring", text, seen["at"] + 1, s["start"] - seen["at"]), F.get(names, s["kind"] - 1))
-        return {"at": F.greatest(seen["at"], s["end"])}, s["start"] >= seen["at"], part
+    def step(at: Column, s: Column) -> tuple[Column, Column, Column]:
+        part = F.concat(F.call_function("substring", text, at + 1, s["start"] - at), F.get(names, s["kind"] - 1))
+        return F.greatest(at, s["end"]), s["start"] >= at, part
 
-    found = _gathered(spans, {"at": F.lit(0)}, "array<string>", step)
-    whole = F.concat(F.array_join(found["out"], ""), F.call_function("substring", text, found["at"] + 1, F.length(text)))
+    whole = _gathered(spans, "array<string>", step, lambda at, out: F.concat(F.array_join(out, ""), F.call_function("substring", text, at + 1, F.length(text))))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
