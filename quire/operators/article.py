@@ -8,14 +8,18 @@ one document at a time, over rows that already carry their roles; documents are
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import blocks as rules
 from ..functions import citations, names
+from ..functions._udf import send_package
 from ..sinks.jats import ARTICLE
 
 # Fixed values.
@@ -283,16 +287,46 @@ class Assembly:
         return {"doc_id": doc_id, "abstract": "\n".join(self.abstract)} | a
 
 
-def _folded(blocks: pd.DataFrame) -> pd.DataFrame:
-    one = Assembly()
-    for b in blocks.sort_values("flow_index").to_dict("records"):
-        one.take({k: (None if isinstance(v, float) and v != v else v) for k, v in b.items()})
-    return pd.DataFrame([one.done(blocks["doc_id"].iloc[0])])[[f.split(" ")[0].strip() for f in ("doc_id", "title", "abstract", "keywords", "authors", "affiliations", "sections", "figures", "tables", "lists", "formulas", "entries", "dropped")]]
+#: Articles that a task holds at most before it hands them on.
+MOST_HELD = 200
+
+
+def _folder(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The fold over a task's blocks, which come document by document, each in order."""
+
+    def articles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        doc_id, one = None, None
+        for batch in batches:
+            fields = batch.schema.names
+            for values in zip(*(c.to_pylist() for c in batch.columns)):
+                b = dict(zip(fields, values))
+                if one is None or b["doc_id"] != doc_id:
+                    if one is not None:
+                        yield one.done(doc_id)
+                    doc_id, one = b["doc_id"], Assembly()
+                one.take(b)
+        if one is not None:
+            yield one.done(doc_id)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for article in articles_of(batches):
+            held.append(article)
+            if len(held) == MOST_HELD:
+                yield pa.RecordBatch.from_pylist(held, schema=schema)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+    return run
 
 
 def folded(nodes: DataFrame) -> DataFrame:
-    """An article for each document, its references as texts of entries."""
-    return with_roles(nodes).groupBy("doc_id").applyInPandas(_folded, FOLDED)
+    """An article for each document, its references as texts of entries. The windows of the roles
+    leave a document's blocks in one task; sorted, they pass through it one by one."""
+    send_package(nodes.sparkSession)
+    blocks = with_roles(nodes).sortWithinPartitions("doc_id", "flow_index")
+    return blocks.mapInArrow(_folder(to_arrow_schema(StructType.fromDDL(FOLDED))), FOLDED)
 
 
 def style_labels(sections: Column) -> Column:
@@ -314,11 +348,14 @@ def style_labels(sections: Column) -> Column:
 def articles(nodes: DataFrame) -> DataFrame:
     """Articles as the generator takes them: names normalised, abstract cleaned, references parsed, sections numbered."""
     spark, rows = nodes.sparkSession, folded(nodes)
-    entries = rows.select("doc_id", F.posexplode("entries").alias("place", "entry"))
+    # The fold runs once: a row for each entry, the article on its first one, and together again.
+    others = [n for n in rows.columns if n not in ("doc_id", "entries")]
+    entries = rows.select("doc_id", F.struct(*others).alias("article"), F.posexplode_outer("entries").alias("place", "entry"))
+    entries = entries.withColumn("article", F.when(F.coalesce("place", F.lit(0)) == 0, F.col("article")))
     parsed = citations.parsed_entries(entries, "entry")
     reference = F.struct("place", F.concat(F.lit("ref"), (F.col("place") + 1).cast("string")).alias("id"), "label", "raw", *citations.FIELDS)
-    grouped = parsed.groupBy("doc_id").agg(F.sort_array(F.collect_list(reference)).alias("found"))
-    rows = rows.join(grouped, "doc_id", "left")
+    found = F.sort_array(F.collect_list(F.when(F.col("place").isNotNull(), reference)))
+    rows = parsed.groupBy("doc_id").agg(F.first("article", ignorenulls=True).alias("article"), found.alias("found")).select("doc_id", "article.*", "found")
     kinds = {f.name: f.dataType for f in spark.createDataFrame([], ARTICLE).schema}
     none = F.lit("")
     columns = {
