@@ -143,6 +143,28 @@ COMMA_TAIL = r"^(.+?),\s*([^,]+?),\s*(\d+)\s*\(\s*((?:19|20)\d{2})\s*\)\s*(\d+)\
 FIELDS = ["authors", "article_title", "source", "year", "volume", "issue", "fpage", "lpage", "doi", "publication_type"]
 
 
+#: Parts the groups of a match; texts that hold it are matched group by group.
+BETWEEN = "\x01"
+
+
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """All n groups of a pattern that begins with ^, by one match: an array whose k-th item is the k-th group, or an array
+    of less than two items without a match. What stands before or behind the match is in the items around them."""
+    shown = F.regexp_replace(text, pattern, "".join(f"{BETWEEN}${k}" for k in range(1, n + 1)) + BETWEEN)
+    each = F.array(F.lit(""), *(F.regexp_extract(text, pattern, k) for k in range(1, n + 1)))
+    return F.when(F.contains(text, F.lit(BETWEEN)), F.when(text.rlike(pattern), each).otherwise(F.array(text))).otherwise(F.split(shown, BETWEEN, -1))
+
+
+def _split(text: Column, pattern: str) -> Column:
+    """Split, which compiles its pattern for each text unless it is one character."""
+    return F.when(F.contains(text, F.lit(BETWEEN)), F.split(text, pattern)).otherwise(F.split(F.regexp_replace(text, pattern, BETWEEN), BETWEEN))
+
+
+def _if_holds(text: Column, word: str, then: Column, otherwise: Column) -> Column:
+    """A step that only changes texts which hold a word, in either case; others skip its pattern."""
+    return F.when(F.contains(F.lower(text), F.lit(word)), then).otherwise(otherwise)
+
+
 def _stripped(text: Column, chars: str = " ,;。") -> Column:
     return F.trim(text, F.lit(chars))
 
@@ -154,39 +176,43 @@ def entry_fields(text: Column) -> list[tuple[str, Column]]:
     whose tail is `source, volume (year) first-last`, else parts between full stops: authors, title, and a journal's
     tail, whose parts take the identifiers' place.
     """
-    get = lambda c, pattern, k: F.regexp_extract(F.col(c), pattern, k)
     c = F.col
-    segments = F.filter(F.transform(F.split(get("_clean", COMMA_TAIL, 1), ","), lambda p: F.trim(p)), lambda p: p != "")
+    get = lambda name, pattern, k: F.regexp_extract(c(name), pattern, k)
+    group = lambda name, k: F.coalesce(F.get(c(name), F.lit(k)), F.lit(""))
+    hit = lambda name: F.size(name) > 1
+    segments = F.when(hit("_comma_tail"), F.filter(F.transform(F.split(group("_comma_tail", 1), ","), lambda p: F.trim(p)), lambda p: p != "")).otherwise(F.array().cast("array<string>"))
     author = lambda p: p.rlike(r"(?i)^et\s+al\.?$") | ((F.size(F.split(F.trim(p), r"\s+")) <= 6) & p.rlike(r"(?:^|\s)[A-Z]{1,4}\.?$"))
     lead = F.aggregate(c("_segments"), F.struct(F.lit(0).alias("n"), F.lit(True).alias("open")), lambda s, p: F.struct(F.when(s["open"] & author(p), s["n"] + 1).otherwise(s["n"]).alias("n"), (s["open"] & author(p)).alias("open")), lambda s: s["n"])
-    comma = (F.size("_segments") > c("_lead")) & (get("_clean", COMMA_TAIL, 2) != "")
-    tail_hit = (c("_tail") != "") & c("_tail").rlike(JOURNAL_TAIL)
+    comma = (F.size("_segments") > c("_lead")) & (group("_comma_tail", 2) != "")
+    tail_hit = (c("_tail") != "") & hit("_journal_tail")
     loose = F.when((c("_tail") != "") & ~c("_tail").rlike(r"^(?:19|20)\d{2}\b"), _stripped(F.get(F.split(c("_tail"), r"[,，]\s*(?:19|20)\d{2}", 2), F.lit(0)), " ,;。.")).otherwise("")
 
     def part(comma_group: int | None, tail_group: int, other: Column) -> Column:
-        own = F.nullif(get("_tail", JOURNAL_TAIL, tail_group), F.lit(""))
+        own = F.nullif(group("_journal_tail", tail_group), F.lit(""))
         out = F.when(tail_hit & ~c("_comma"), F.coalesce(F.trim(own), other)).otherwise(other)
-        return F.when(c("_comma"), get("_clean", COMMA_TAIL, comma_group)).otherwise(out) if comma_group else out
+        return F.when(c("_comma"), group("_comma_tail", comma_group)).otherwise(out) if comma_group else out
 
-    letter = F.upper(get("raw", TYPE, 1))
+    letter = F.upper(_if_holds(c("raw"), "[", get("raw", TYPE, 1), F.lit("")))
     kind = F.coalesce(F.create_map(*(F.lit(x) for p in TYPES.items() for x in p))[F.nullif(letter, F.lit(""))], F.lit(""))
     filled = lambda n: (F.size(n) if n == "authors" else F.length(n)) > 0
-    without = F.regexp_replace(F.regexp_replace(F.regexp_replace(c("raw"), TYPE, ""), r"(?i)\bdoi\s*:\s*(?:https?://(?:dx\.)?doi\.org/)?\S+", ""), r"(?i)https?://(?:dx\.)?doi\.org/\S+", "")
-    parts = F.filter(F.transform(F.split(c("_clean"), r"\.\s+"), lambda p: _stripped(p)), lambda p: p != "")
+    typeless = _if_holds(c("raw"), "[", F.regexp_replace(c("raw"), TYPE, ""), c("raw"))
+    without = _if_holds(c("raw"), "doi", F.regexp_replace(F.regexp_replace(typeless, r"(?i)\bdoi\s*:\s*(?:https?://(?:dx\.)?doi\.org/)?\S+", ""), r"(?i)https?://(?:dx\.)?doi\.org/\S+", ""), typeless)
+    parts = F.filter(F.transform(_split(c("_clean"), r"\.\s+"), lambda p: _stripped(p)), lambda p: p != "")
     some = F.size("_parts") >= 2
-    names = F.filter(F.transform(F.split(F.get("_parts", F.lit(0)), r"(?i)[;,，；]|(?:\s+and\s+)"), lambda p: F.trim(p)), lambda p: p != "")
+    names = F.filter(F.transform(_split(F.get("_parts", F.lit(0)), r"(?i)[;,，；]|(?:\s+and\s+)"), lambda p: F.trim(p)), lambda p: p != "")
     none = F.array().cast("array<string>")
     return [
-        ("label", F.trim(F.regexp_extract(text, LABEL, 1))),
-        ("raw", F.trim(F.when(text.rlike(LABEL), F.regexp_extract(text, LABEL, 2)).otherwise(text))),
-        ("_clean", F.trim(without)), ("_segments", segments), ("_lead", lead), ("_comma", comma), ("_parts", parts),
+        ("_label", F.regexp_extract(text, LABEL, 1)), ("label", F.trim("_label")),
+        ("raw", F.trim(F.when(c("_label") != "", F.regexp_extract(text, LABEL, 2)).otherwise(text))),
+        ("_clean", F.trim(without)), ("_comma_tail", _groups(c("_clean"), COMMA_TAIL, 6)), ("_segments", segments), ("_lead", lead), ("_comma", comma), ("_parts", parts),
         ("_tail", F.when(F.size("_parts") >= 3, _stripped(F.array_join(F.slice("_parts", F.lit(3), F.size("_parts")), " "), " ,;。.")).otherwise("")),
+        ("_journal_tail", _groups(c("_tail"), JOURNAL_TAIL, 6)),
         ("authors", F.when(c("_comma"), F.slice("_segments", F.lit(1), c("_lead"))).when(some & ~c("_comma"), names).otherwise(none)),
         ("article_title", F.when(c("_comma"), _stripped(F.array_join(F.slice("_segments", c("_lead") + 1, F.size("_segments")), ", "), " ,;.")).when(some, _stripped(F.get("_parts", F.lit(1)))).otherwise("")),
-        ("source", F.when(c("_comma"), _stripped(get("_clean", COMMA_TAIL, 2), " ,;.")).when(tail_hit, _stripped(get("_tail", JOURNAL_TAIL, 1), " ,;.")).otherwise(loose)),
+        ("source", F.when(c("_comma"), _stripped(group("_comma_tail", 2), " ,;.")).when(tail_hit, _stripped(group("_journal_tail", 1), " ,;.")).otherwise(loose)),
         ("year", part(4, 2, get("raw", r"\b((?:19|20)\d{2})\b", 1))), ("volume", part(3, 3, get("raw", VOLUME, 1))), ("issue", part(None, 4, get("raw", VOLUME, 2))),
         ("fpage", part(5, 5, get("raw", PAGES, 1))), ("lpage", part(6, 6, get("raw", PAGES, 2))),
-        ("doi", F.rtrim(get("raw", DOI, 1), F.lit("."))),
+        ("doi", _if_holds(c("raw"), "10.", F.rtrim(get("raw", DOI, 1), F.lit(".")), F.when(c("raw").isNotNull(), ""))),
         ("publication_type", F.when(kind != "", kind).when(c("_comma") | (c("source") != ""), "journal").otherwise("")),
         ("parse_confidence", F.least(F.lit(1.0), F.bround(sum((filled(n).cast("int") for n in FIELDS), F.lit(0)) / 7, 2))),
     ]
@@ -196,4 +222,4 @@ def parsed_entries(rows, text: str):
     """The rows with label, raw, the fields and parse_confidence of the entries in a column."""
     for name, column in entry_fields(F.col(text)):
         rows = rows.withColumn(name, column)
-    return rows.drop("_clean", "_segments", "_lead", "_comma", "_parts", "_tail")
+    return rows.drop("_label", "_clean", "_comma_tail", "_segments", "_lead", "_comma", "_parts", "_tail", "_journal_tail")

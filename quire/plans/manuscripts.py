@@ -13,7 +13,7 @@ from ..operators import article as assembly
 from ..operators import comparator, scorer, views
 from ..sinks import jats, packages
 from ..sources.docx import inspected
-from ..sources.tables import line_blocks, table
+from ..sources.tables import line_blocks, table, task_count
 from . import surface
 from .catalog import query
 
@@ -90,7 +90,9 @@ def citation_fields(spark, d):
         F.lit("["), _s(n), F.lit("] Smith AB, Jones CD. "), "p_name", F.lit(". "), "p_brand", F.lit(" "), _s(F.year("l_shipdate")), F.lit(";"), _s(1 + F.col("p_partkey") % 40), F.lit("("), _s(n), F.lit("):"),
         _s(100 + n), F.lit("-"), _s(110 + n), F.lit("."), F.when(n % 3 == 0, F.concat(F.lit(" https://doi.org/10.1234/x"), _s("p_partkey"))).otherwise(""),
     )
-    rows = citations.parsed_entries(_parts(spark, d).withColumn("entry", raw), "entry")
+    lines = _parts(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "p_partkey", "p_name", "p_brand")
+    lines = lines.repartition(task_count(table(spark, d, "lineitem")), "l_orderkey", "l_linenumber")
+    rows = citations.parsed_entries(lines.withColumn("entry", raw), "entry")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "label", F.array_join("authors", ";").alias("authors"), *citations.FIELDS[1:], F.col("parse_confidence").cast("double").alias("parse_confidence"))
 
 
