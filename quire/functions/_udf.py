@@ -33,15 +33,15 @@ def send_package(spark: SparkSession) -> None:
     _sent(spark.sparkContext.applicationId, spark)
 
 
-def arrow(kind: str) -> Callable:
-    """A pandas function as a Column function of the given type. It counts as not deterministic, so that the optimizer
+def arrow(kind: str, arrays: bool = False) -> Callable:
+    """A pandas function, or one of Arrow arrays, as a Column function of the given type. It counts as not deterministic, so that the optimizer
     neither copies a call nor moves it into a lambda, where it could not run."""
 
     def put(f: Callable) -> Callable[..., Column]:
         @functools.wraps(f)
         def call(*columns: Column | str) -> Column:
             send_package(SparkSession.active())
-            return F.pandas_udf(f, kind).asNondeterministic()(*columns)
+            return (F.arrow_udf if arrays else F.pandas_udf)(f, kind).asNondeterministic()(*columns)
 
         return call
 

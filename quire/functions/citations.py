@@ -8,8 +8,10 @@ expressions. Numbers that do not parse give no target, and ranges of any length
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,25 +40,54 @@ CANDIDATES = "array<struct<start:int,end:int,text:string,ref_type:string,prefix:
 AUTHORS = "array<struct<start:int,end:int,text:string,author:string,year:string>>"
 
 
+#: Where a kind's pattern can begin, by its first letters in either case (those that the engine takes for an i too).
+_BEGINS = re.compile(r"[FfTtEe图表式公\[](?:(?<=[Ff])(?=[Ii\u0130\u0131][Gg])|(?<=[Tt])(?=[Aa][Bb][Ll][Ee])|(?<=[Ee])(?=[Qq])|(?<=公)(?=式)|(?<=[图表式\[]))")
 _PATTERNS = [(t, p, re.compile(x, re.I)) for t, p, x in KINDS]
+#: The patterns that begin with a letter, by their place among the kinds.
+_BY_FIRST = {c: [(k, _PATTERNS[k][2].match) for k in ks] for cs, ks in (("Ff", (0, 2, 5)), ("Tt", (1, 3, 6)), ("Ee", (4, 7)), ("图", (5,)), ("表", (6,)), ("式公", (7,)), ("[", (8,))) for c in cs}
+_LETTER_SIGNS = re.compile(r"[\s()]")
+
+
+def _matches(text: str) -> list[tuple]:
+    """(kind, start, end, text, numbers, letter) of all matches of all kinds, kind by kind, each in order. The text is
+    walked once; a kind goes on where its last match ended."""
+    out, ends = [], {}
+    for begin in _BEGINS.finditer(text):
+        at = begin.start()
+        for k, match in _BY_FIRST[text[at]]:
+            if at >= ends.get(k, 0) and (m := match(text, at)):
+                ends[k] = m.end()
+                numbers, letter = (m[1], _LETTER_SIGNS.sub("", m[2]).lower()) if k == 0 else (m[1], "")
+                if numbers.lower() in NUMBER_WORDS:
+                    numbers = str(NUMBER_WORDS.index(numbers.lower()) + 1)
+                out.append((k, at, m.end(), m[0], numbers, letter))
+    out.sort()
+    return out
 
 
 def found_in(text: str | None) -> list[dict]:
     """All matches of all kinds in a text, with their places."""
-    out = []
-    for kind, prefix, pattern in _PATTERNS:
-        for m in pattern.finditer(text or ""):
-            numbers, letter = (m[1], m[2]) if pattern.groups == 2 else (m[1], None)
-            if numbers.lower() in NUMBER_WORDS:
-                numbers = str(NUMBER_WORDS.index(numbers.lower()) + 1)
-            out.append({"start": m.start(), "end": m.end(), "text": m[0], "ref_type": kind, "prefix": prefix, "numbers": numbers, "letter": re.sub(r"[\s()]", "", letter or "").lower()})
-    return out
+    return [{"start": start, "end": end, "text": shown, "ref_type": KINDS[k][0], "prefix": KINDS[k][1], "numbers": numbers, "letter": letter} for k, start, end, shown, numbers, letter in _matches(text or "")]
+
+
+def _as_candidates(texts: Iterable[str | None]) -> pa.Array:
+    """The matches of each text, null for null, written column by column."""
+    offsets, missing, flat = [0], [], []
+    for text in texts:
+        missing.append(text is None)
+        if text:
+            flat += _matches(text)
+        offsets.append(len(flat))
+    kinds, starts, ends, shown, numbers, letters = zip(*flat) if flat else ((),) * 6
+    columns = [pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), *(pa.array(c, pa.string()) for c in (shown, [KINDS[k][0] for k in kinds], [KINDS[k][1] for k in kinds], numbers, letters))]
+    spans = pa.StructArray.from_arrays(columns, ["start", "end", "text", "ref_type", "prefix", "numbers", "letter"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans, mask=pa.array(missing, pa.bool_()))
 
 
-@arrow(CANDIDATES)
-def candidates(texts: pd.Series) -> pd.Series:
+@arrow(CANDIDATES, arrays=True)
+def candidates(texts: pa.Array) -> pa.Array:
     """All matches of all kinds, with their places."""
-    return texts.map(found_in, na_action=None)
+    return _as_candidates(texts.to_pylist())
 
 
 @arrow(AUTHORS)
@@ -69,9 +100,10 @@ def author_years(texts: pd.Series) -> pd.Series:
 def expanded(numbers: Column) -> Column:
     """The numbers of `1-3, 5 and 7`, either direction, in order, distinct; a part that is no number or range gives none."""
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(numbers, "[()]", ""), r"(?i)\s*(?:\band\b|&)\s*", ","), "[–—]", "-")
-    parts = F.filter(F.transform(F.split(plain, "[,，、]"), lambda p: F.trim(p)), lambda p: p.rlike(r"^\d{1,18}(?:\s*-\s*\d{1,18})?$"))
+    # Split compiles a pattern of several signs for each text; one sign it does not.
+    parts = F.filter(F.transform(F.split(F.translate(plain, "，、", ",,"), ","), lambda p: F.trim(p)), lambda p: p.rlike(r"^\d{1,18}(?:\s*-\s*\d{1,18})?$"))
     ranges = F.transform(parts, lambda p: F.sequence(F.regexp_extract(p, r"^(\d+)", 1).cast("long"), F.regexp_extract(p, r"(\d+)$", 1).cast("long")))
-    return F.array_distinct(F.flatten(ranges))
+    return F.when(numbers.rlike(r"\A[0-9]{1,18}\z"), F.array(numbers.cast("long"))).otherwise(F.array_distinct(F.flatten(ranges)))
 
 
 def apart(spans: Column, kind: str) -> Column:
@@ -87,11 +119,10 @@ def apart(spans: Column, kind: str) -> Column:
 
 def resolved(found: Column) -> Column:
     """Start, end, text, ref_type and rids of the candidates that do not overlap."""
-    with_rids = F.transform(found, lambda c: F.struct(
+    return F.transform(apart(found, CANDIDATES), lambda c: F.struct(
         c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text"), c["ref_type"].alias("ref_type"),
         F.transform(expanded(c["numbers"]), lambda n: F.concat(c["prefix"], n.cast("string"), c["letter"])).alias("rids"),
     ))
-    return apart(with_rids, "array<struct<start:int,end:int,text:string,ref_type:string,rids:array<string>>>")
 
 
 def against_targets(spans: Column, targets: Column) -> Column:
