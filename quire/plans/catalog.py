@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import blocks, citations, scores, text
 from ..operators import matching, ordered
-from ..sources.tables import line_blocks, table
+from ..sources.tables import line_blocks, table, task_count
 
 FLAGSHIP = "document_profile"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,7 +173,11 @@ BIND = "(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 50 + CASE WHEN l_linenumber =
 
 
 def _bindings(spark, d):
-    rows = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # Both sides, and the windows behind, in as many tasks as the table asks for: their sorts hold a task's rows.
+    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders").select("o_orderkey")
+    n = task_count(lines)
+    lines = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").repartition(n, "l_orderkey")
+    rows = lines.join(orders.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.withColumn("score", scores.evidence(F.col("l_returnflag") != "R", F.lit(True), F.col("l_linenumber") == 1 + F.col("o_orderkey") % 4, F.col("l_partkey") % 6))
 
 
