@@ -155,7 +155,7 @@ def converted_formulas(spark, d):
     power = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("<m:sSup><m:e><m:r><m:t>x</m:t></m:r></m:e><m:sup>"), run(_s("l_linenumber")), F.lit("</m:sup></m:sSup>"))).otherwise("")
     odd = F.when(F.col("l_partkey") % 5 == 0, "<m:phant><m:e/></m:phant>").otherwise("")
     text = F.concat(F.lit('<m:oMath xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"><m:f><m:num>'), run(_s("l_linenumber")), F.lit("</m:num><m:den>"), run(_s("l_suppkey")), F.lit("</m:den></m:f>"), power, odd, F.lit("</m:oMath>"))
-    rows = table(spark, d, "lineitem").withColumn("x", omml.omml_to_math(text))
+    rows = _lines(spark, d, "l_orderkey", "l_linenumber").withColumn("x", omml.omml_to_math(text))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "x.latex", F.col("x.conversion_status").alias("status"))
 
 

@@ -13,7 +13,7 @@ from quire.sources.tables import table, task_count
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["citation_fields", "xref_spans", "xref_places", "best_bindings"])
+@pytest.mark.parametrize("name", ["citation_fields", "xref_spans", "xref_places", "best_bindings", "converted_formulas"])
 def test_rows_are_dealt_by_size(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert f", {task_count(table(spark, SF, 'lineitem'))}), REPARTITION_BY_NUM" in plan, plan
