@@ -70,7 +70,7 @@ def xref_spans(spark, d):
 def xref_places(spark, d):
     """Who refers to a figure or table, by section, paragraph and place of the reference, in order."""
     text = F.concat(F.lit("See Figure "), _s("l_linenumber"), F.lit("; Tables 1 and "), _s(2 + F.col("l_partkey") % 5), F.lit(" [1]."))
-    # Dealt by the document, whose places come together then.
+    # Dealt by the document; the places still come together by an exchange of the session's shuffle partitions.
     rows = _lines(spark, d, "l_orderkey").withColumn("found", citations.candidates(text)).withColumn("spans", citations.resolved(F.col("found")))
     each = rows.select("l_orderkey", "l_linenumber", F.explode(reverse_xrefs(F.col("spans"))).alias("x")).select("l_orderkey", "x.rid", F.struct("l_linenumber", "x.k").alias("at"))
     place = lambda a: F.concat(F.lit("sec"), a["l_linenumber"].cast("string"), F.lit("-p1-xref"), a["k"].cast("string"))
